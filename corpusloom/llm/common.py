@@ -103,3 +103,32 @@ def bounded_sample(df: DataFrame, group: str, bound: int, seed: int = 7) -> Data
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+class SpanHash:
+    """64-bit polynomial hashes of byte spans: T[b0] + T[b1] p + T[b2] p^2 ..., with the words of a seeded table."""
+
+    def __init__(self, seed: int = 11) -> None:
+        self.table = seeded(256, seed)
+        self.p = int(seeded(1, seed + 1)[0]) | 1
+        self.q = pow(self.p, -1, 1 << 64)
+        self.up = np.ones(1, np.uint64)
+        self.down = np.ones(1, np.uint64)
+
+    @staticmethod
+    def _grow(have: np.ndarray, base: int, n: int) -> np.ndarray:
+        while len(have) < n:
+            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
+        return have
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums, one more than there are bytes."""
+        n = len(data)
+        self.up = self._grow(self.up, self.p, n + 1)
+        self.down = self._grow(self.down, self.q, n + 1)
+        out = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.table[data] * self.up[:n], out=out[1:])
+        return out
+
+    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (sums[ends] - sums[starts]) * self.down[starts]

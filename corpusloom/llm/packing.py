@@ -1,9 +1,8 @@
 """Best-fit packing of documents into sequences by a grouping genetic algorithm.
 
 Tokens. Documents become ids of the given tokenizer and an end id; those longer
-than a sequence are cut into pieces of its size. The tokenizer's splits never
-cross blanks, so the ids of a text are those of its blank-separated chunks, which
-are kept in a bounded cache.
+than a sequence are cut into pieces of its size. The ids of a text are those of the
+words that the tokenizer splits it into, which are kept in a bounded cache.
 
 Packing. Pieces that fill a sequence stand alone. The others are dealt by a hash
 into blocks of about ``block`` pieces. Each block evolves on ``islands`` islands
@@ -21,10 +20,13 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import random
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,57 +34,173 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batch_sizes, slices
+from corpusloom.llm.common import SpanHash, batch_sizes, slices
 from corpusloom.session import materialize
 
 SEQUENCE = 4096
 END_ID = 1
-CACHE_CHUNKS = 150_000
-CACHED_CHUNK = 40
+#: Words whose ids a worker keeps, about 150 MB; then it starts anew.
+CACHE_WORDS = 600_000
+#: Most tasks of one epoch.
+MAX_TASKS = 4096
 
 
-class ChunkCoder:
-    """Ids of a text as little-endian unsigned 32-bit words."""
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+class WordCoder:
+    """Ids of texts as unsigned 32-bit numbers.
+
+    For texts of plain Latin-1 characters the tokenizer's own splitting rule is
+    applied here, with numpy, to the lower-cased bytes of many texts at once. Words
+    are told apart by 64-bit hashes, and the ids of each word are kept in a bounded
+    cache. All other texts go through the tokenizer whole.
+    """
+
+    plain = bytes([9, 10, 13, *range(32, 127), *range(0xA1, 0x100)])
+    blank, letter, digit, other = range(4)
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.cache.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {"": b""}
-        new = [c for c in set(chunks) if c not in self.cache]
-        long = [c for c in new if len(c) > CACHED_CHUNK]
-        for c, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[c] = np.asarray(e.ids, "<u4").tobytes()
-        out = b"".join(map(self.cache.__getitem__, chunks))
-        for c in long:
-            del self.cache[c]
+        self.merge = self.tok.model.tokenize
+        self.letters = byte_letters()
+        self.hash = SpanHash()
+        self.splits_here = self._known_rule()
+        kinds = [self.other] * 256
+        for b in range(256):
+            c = chr(b)
+            kinds[b] = self.blank if c in " \t\n\r" else self.letter if c.isalpha() else self.digit if unicodedata.category(c)[0] == "N" else self.other
+        self.kinds = np.array(kinds, np.uint8)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.at = np.zeros(CACHE_WORDS * 2, np.int64)  # where the ids of a slot begin; those of slot k end where k + 1 begins
+
+    def _known_rule(self) -> bool:
+        """Is this the tokenizer whose splitting rule is written here?"""
+        kind = json.loads(self.tok.to_str())
+        pre = json.dumps(kind["pre_tokenizer"])
+        return [x["type"] for x in (kind["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in pre
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        easy, rows = [], []
+        for k, t in enumerate(texts):
+            try:
+                raw = t.lower().encode("latin-1")
+                odd = t.encode("latin-1").translate(None, self.plain)
+            except UnicodeEncodeError:
+                odd = b"?"
+            if odd or not self.splits_here or "<|" in t:
+                out[k] = self.whole(t)
+            else:
+                easy.append(raw)
+                rows.append(k)
+        for i, j in slices(np.array([len(x) + 1 for x in easy], np.int64), 4 << 20):
+            for k, ids in zip(rows[i:j], self._encode(easy[i:j]), strict=True):
+                out[k] = ids
         return out
 
+    def _words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words; each text ends with a line feed."""
+        kind = self.kinds[data]
+        edge = np.empty(len(data), bool)
+        edge[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+        edge |= kind == self.digit
+        # an apostrophe alone between a word and one of s t m d re ve ll takes these letters along
+        tick = np.flatnonzero((data == 39) & edge)
+        tick = tick[tick + 1 < len(data)]
+        if len(tick):
+            a, b = data[tick + 1], data[np.minimum(tick + 2, len(data) - 1)]
+            two = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+            three = ((b == ord("e")) & ((a == ord("r")) | (a == ord("v")))) | ((a == ord("l")) & (b == ord("l")))
+            edge[tick[two | three] + 1] = False
+            edge[tick[two] + 2] = True
+            edge[tick[three] + 3] = True
+        cut = np.flatnonzero(edge)
+        ends = np.append(cut[1:], len(data))
+        word = kind[cut] != self.blank
+        return cut[word], ends[word]
+
+    def _encode(self, raw: list[bytes]) -> list[np.ndarray]:
+        buf = b"\n".join(raw) + b"\n"
+        data = np.frombuffer(buf, np.uint8)
+        starts, ends = self._words(data)
+        back, keys = pd.factorize(self.hash.spans(self.hash.sums(data), starts, ends))
+        first = np.empty(len(keys), np.int64)
+        first[back[::-1]] = np.arange(len(back) - 1, -1, -1)
+        slot = self._slots(buf, keys.tolist(), starts[first].tolist(), ends[first].tolist())
+        begin, size = self.at[slot], self.at[slot + 1] - self.at[slot]
+        size = size[back]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(begin[back] - upto[:-1], size) + np.arange(upto[-1])]
+        text_ends = np.cumsum([len(x) + 1 for x in raw])
+        cut = upto[np.searchsorted(starts, text_ends)]
+        return np.split(ids, cut[:-1])
+
+    def _slots(self, buf: bytes, keys: list[int], starts: list[int], ends: list[int]) -> np.ndarray:
+        if len(self.slots) > CACHE_WORDS:
+            self._clear()
+        if len(self.slots) + len(keys) + 2 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(len(keys) + 2, np.int64)])
+        slot = np.fromiter(map(self.slots.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            n, merge, letters = len(self.slots), self.merge, self.letters
+            ids: list[int] = []
+            upto = []
+            for k in new.tolist():
+                raw = buf[starts[k] : ends[k]]
+                word = raw.decode() if raw.isalpha() else raw.decode("latin-1").encode().decode("latin-1").translate(letters)
+                ids += [t.id for t in merge(word)]
+                upto.append(len(ids))
+            slot[new] = np.arange(n, n + len(new))
+            self.slots.update(zip(map(keys.__getitem__, new.tolist()), range(n, n + len(new)), strict=True))
+            a = self.at[n]
+            self.at[n + 1 : n + 1 + len(new)] = a + np.array(upto)
+            while a + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[a : a + len(ids)] = ids
+        return slot
+
+
+_CODERS: dict[str, WordCoder] = {}
+
+
+def coder_of(path: str) -> WordCoder:
+    """One coder for each tokenizer and Python worker."""
+    if path not in _CODERS:
+        _CODERS[path] = WordCoder(path)
+    return _CODERS[path]
+
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkCoder(tokenizer)
+        coder = coder_of(tokenizer)
         for batch in batches:
             for i, j in slices(batch_sizes(batch), 8 << 20):
                 yield one(coder, batch.slice(i, j - i))
 
-    def one(coder: ChunkCoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def one(coder: WordCoder, batch: pa.RecordBatch) -> pa.RecordBatch:
         row, piece, start, length, crc = [], [], [], [], []
-        for k, text in enumerate(batch.column(1).to_pylist()):
-            ids = coder.encode(text or "") + end
+        for k, got in enumerate(coder.encode_many([t or "" for t in batch.column(1).to_pylist()])):
+            ids = got.astype("<u4").tobytes() + end
             for p, a in enumerate(range(0, len(ids), 4 * size)):
                 part = ids[a : a + 4 * size]
                 row.append(k)
@@ -232,10 +350,11 @@ def pack(parts: DataFrame, size: int = SEQUENCE, block: int = 4096, islands: int
         blocks = -(-n // block)
         last = rnd == rounds - 1 or blocks == 1
         dealt = todo.withColumn("block", F.pmod(F.xxhash64("pk", F.lit(rnd)), F.lit(blocks))).withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)])))
-        one = dealt.groupBy("block", "island").applyInPandas(epochs(rnd, 0), schema)
+        tasks = min(blocks * islands, MAX_TASKS)
+        one = dealt.repartition(tasks, "block", "island").groupBy("block", "island").applyInPandas(epochs(rnd, 0), schema)
         # the elite of each island stays and also moves on to the next one
         moved = one.withColumn("origin", F.col("island")).withColumn("island", F.explode(F.array(F.col("island"), (F.col("island") + 1) % islands)))
-        two = moved.groupBy("block", "island").applyInPandas(epochs(rnd, 1), schema)
+        two = moved.repartition(tasks, "block", "island").groupBy("block", "island").applyInPandas(epochs(rnd, 1), schema)
         by_block = Window.partitionBy("block")
         win = two.withColumn("w", F.min(F.struct("bins", "fit", "island")).over(by_block)).filter(F.col("w.island") == F.col("island"))
         in_bin = Window.partitionBy("block", "bin")
