@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,21 @@ def release(*frames: DataFrame) -> None:
             if "/corpusloom/" in f:
                 p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
                 p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the Python workers, where the cluster hasn't installed it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusloom_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="corpusloom-src-"), "corpusloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("corpusloom", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._corpusloom_shipped = True
+    return spark
