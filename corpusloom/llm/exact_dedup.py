@@ -4,8 +4,9 @@
    combine. Fingerprints of more than rows / (4 x partitions) rows are hot; there
    are fewer than 4 x partitions of them, which bounds what is broadcast. The same
    aggregate gives the best row and the size of each hot group.
-2. Sampled splitters range-partition the rows by (normalised text, salt); the salt
-   is 0 but for hot texts, whose rows it deals over all partitions.
+2. Sampled splitters range-partition the rows by the first bytes of the normalised
+   text, its fingerprint and a salt, so that what is sampled stays short; the salt is
+   0 but for hot texts, whose rows it deals over all partitions.
 3. An external sort places equal texts next to each other. The window operator
    compares full neighbouring keys, so equality is decided on the content.
 4. The first row of a run stays: most code points, then the smallest doc_id. For a
@@ -56,8 +57,9 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = base.withColumn("__ed_salt", F.when(F.col("__ed_hot_n").isNotNull(), 1 + F.pmod(F.xxhash64("__ed_id"), F.lit(parts))).otherwise(0))
     base = base.drop("__ed_hot_h", "__ed_hot_sha")
 
-    dealt = base.repartitionByRange(parts, "__ed_norm", "__ed_salt")
-    run = Window.partitionBy("__ed_norm", "__ed_salt")
+    base = base.withColumn("__ed_head", F.substring("__ed_norm", 1, 16)).withColumn("__ed_print", F.xxhash64("__ed_norm"))
+    dealt = base.repartitionByRange(parts, "__ed_head", "__ed_print", "__ed_salt")
+    run = Window.partitionBy("__ed_head", "__ed_print", "__ed_salt", "__ed_norm")
     order = run.orderBy(F.col("__ed_points").desc(), F.col("__ed_id").asc_nulls_last())
     out = (
         dealt.withColumn("__ed_rn", F.row_number().over(order))
