@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.common import table
+from corpusloom.llm import langid, quality, toxicity
+from corpusloom.llm.common import learn_rows, table
 from corpusloom.llm.decontam import decontaminate
 from corpusloom.llm.exact_dedup import content_sort_dedup
 from corpusloom.llm.packing import pack_documents
@@ -34,12 +35,32 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), learn_rows("doc_id", 3, 1))
+    out = quality.score_quality(docs, model)
+    return out.select("doc_id", learn_rows("doc_id", 3, 1, want_held=True).alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, learn_rows("doc_id", 5, 0))
+    return langid.identify(docs, model).select("doc_id", learn_rows("doc_id", 5, 0, want_held=True).alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lex = toxicity.learn_lexicon(docs, table(spark, sf_dir, "labels"), learn_rows("doc_id", 4, 2))
+    out = toxicity.score_toxicity(docs, lex)
+    return out.select("doc_id", learn_rows("doc_id", 4, 2, want_held=True).alias("held_out"), "score", "predicted")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_url_filter, op2_best_fit_packing, op3_decontamination, op8_exact_dedup)
+    named = (op1_url_filter, op2_best_fit_packing, op3_decontamination, op4_quality, op6_language_id, op8_exact_dedup, op9_toxicity)
     return {f.__name__: f for f in named}
 
 
