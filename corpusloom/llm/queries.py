@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import langid, quality, toxicity
+from corpusloom.llm import langid, pii, quality, toxicity
 from corpusloom.llm.common import learn_rows, table
 from corpusloom.llm.decontam import decontaminate
 from corpusloom.llm.exact_dedup import content_sort_dedup
@@ -48,6 +48,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", learn_rows("doc_id", 5, 0, want_held=True).alias("held_out"), "lang_pred", "score")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lex = toxicity.learn_lexicon(docs, table(spark, sf_dir, "labels"), learn_rows("doc_id", 4, 2))
@@ -60,7 +64,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_url_filter, op2_best_fit_packing, op3_decontamination, op4_quality, op6_language_id, op8_exact_dedup, op9_toxicity)
+    named = (op1_url_filter, op2_best_fit_packing, op3_decontamination, op4_quality, op6_language_id, op7_pii, op8_exact_dedup, op9_toxicity)
     return {f.__name__: f for f in named}
 
 
