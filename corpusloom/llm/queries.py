@@ -10,6 +10,7 @@ from corpusloom.llm import langid, pii, quality, toxicity
 from corpusloom.llm.common import learn_rows, table
 from corpusloom.llm.decontam import decontaminate
 from corpusloom.llm.exact_dedup import content_sort_dedup
+from corpusloom.llm.ngram_join import ngram_join
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.url_filter import judge_urls
 
@@ -42,6 +43,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", learn_rows("doc_id", 3, 1, want_held=True).alias("held_out"), "score", "predicted")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, learn_rows("doc_id", 5, 0))
@@ -64,7 +69,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_url_filter, op2_best_fit_packing, op3_decontamination, op4_quality, op6_language_id, op7_pii, op8_exact_dedup, op9_toxicity)
+    named = (op1_url_filter, op2_best_fit_packing, op3_decontamination, op4_quality, op5_ngram_jaccard_join, op6_language_id, op7_pii, op8_exact_dedup, op9_toxicity)
     return {f.__name__: f for f in named}
 
 
