@@ -12,6 +12,7 @@ from corpusloom.llm.decontam import decontaminate
 from corpusloom.llm.exact_dedup import content_sort_dedup
 from corpusloom.llm.ngram_join import ngram_join
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.suffix_dedup import suffix_dedup
 from corpusloom.llm.url_filter import judge_urls
 
 #: The tokenizer file of the packing query.
@@ -68,8 +69,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_url_filter, op2_best_fit_packing, op3_decontamination, op4_quality, op5_ngram_jaccard_join, op6_language_id, op7_pii, op8_exact_dedup, op9_toxicity)
+    named = (op1_url_filter, op2_best_fit_packing, op3_decontamination, op4_quality, op5_ngram_jaccard_join, op6_language_id, op7_pii, op8_exact_dedup, op9_toxicity, op10_suffix_dedup)
     return {f.__name__: f for f in named}
 
 
