@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -330,7 +330,11 @@ def digest(found: DataFrame) -> DataFrame:
     rank = lambda x: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KINDS)), x.kind), F.lit(0)), F.lit(len(KINDS) + 1))
     keyed = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(rank(x).alias("r"), x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end"))))
     joined = lambda c: F.array_join(F.transform(keyed(c), line), ",")
-    counts = [F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
     return found.select(
         *[c for c in found.columns if c not in ("base", "added")],
         *counts,
