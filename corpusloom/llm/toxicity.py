@@ -191,8 +191,12 @@ def labelled(df: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_
     rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), id_col).select("y", "t").limit(5 * bound)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))
     rows = rows.withColumn("w", F.filter(F.split(F.lower("t"), r"\W+"), lambda x: x != "")).withColumn("g", grams)
+
+    def sketch(salt: int) -> Column:
+        return F.array_min(F.transform("g", lambda x: F.xxhash64(x, F.lit(salt))))
+
     for salt in (1, 2):
-        rows = rows.withColumn("m", F.array_min(F.transform("g", lambda x, s=salt: F.xxhash64(x, F.lit(s))))).dropDuplicates(["y", "m"])
+        rows = rows.withColumn("m", sketch(salt)).dropDuplicates(["y", "m"])
     return rows.select("y", "t")
 
 
