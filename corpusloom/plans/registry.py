@@ -20,3 +20,20 @@ def query(name: str, sql: str | None = None) -> Callable:
         return fn
 
     return put
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"corpusloom.{name}")
+
+
+MODULES = (
+    "operators.symbols",
+    "operators.causal",
+    "operators.matching",
+    "operators.markup",
+    "operators.batching",
+)
