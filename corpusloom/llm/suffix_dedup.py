@@ -11,17 +11,20 @@ finds that:
    positions of a difference cover do. Windows of one anchor are consecutive: the
    anchor's range.
 2. Anchors that occur once can't repeat. Counts of their hashes, kept as packed
-   arrays, pass into a bit filter of bounded size; what it lets through goes on.
-3. Ranges that are equal as a whole (hash of the range and the anchor's place in it)
-   form a class. All windows of all but its first occurrence repeat; these need no
-   sorting, however many copies there are.
-4. The first occurrences of the classes that share an anchor go to one task as byte
+   arrays, pass into a bit filter of bounded size; what it lets through goes on. A
+   second filter tells the anchors of ``hot`` places or more, whose rows are dealt by
+   document as well.
+3. Places are sorted by anchor and range. Ranges that are equal as a whole (hash of
+   the range and the anchor's place in it) lie next to each other: all windows of all
+   but the first repeat; these need no sorting, however many copies there are.
+4. The first places of different ranges that share an anchor go to one task as byte
    strings. There the difference-cover algorithm sorts their suffixes: sampled triples
    are sorted and named, names are sorted recursively, the remaining suffixes are
    merged in, and adjacent prefixes of ``width`` bytes are compared byte by byte. Of
-   equal windows all but the earliest repeat. An anchor with more than ``most`` classes
-   is dealt by the hash of each window instead, so that no task grows with it.
-5. The repeated windows of each document are merged and cut out.
+   equal windows all but the earliest repeat. An anchor with more than ``most`` such
+   places is dealt by the hash of each window instead, so that no task grows with it.
+5. The repeated windows of each document are merged and cut out. Documents that have
+   none by a third filter aren't shuffled.
 
 Documents are ordered by id (nulls last), then by a hash of the text; rows alike in
 id and text are the same document and get the same result. A null text counts as
@@ -32,7 +35,7 @@ result; extra columns are ignored unless carried.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +48,10 @@ from corpusloom.session import materialize
 
 WIDTH = 100
 GRAM = 32
-MOST = 5_000
+#: First places of one anchor that are sorted together.
+MOST = 1_500
+#: Places of an anchor from which on they are dealt by document as well.
+HOT = 4_096
 
 
 @dataclass
@@ -60,6 +66,8 @@ class Anchors:
     range_hash: np.ndarray
 
 
+#: Bytes of a step.
+STEP = 1 << 19
 #: Bits of a place within a step; the other bits of a word hold the hash.
 PLACE_BITS = 24
 
@@ -81,7 +89,7 @@ def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
 def steps(data: np.ndarray, off: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, place in it, bytes, offsets): texts together up to a limit; a very long one in parts that share width - 1 bytes."""
     part = 8 << 20
-    for i, j in slices(np.diff(off)):
+    for i, j in slices(np.diff(off), STEP):
         a, b = int(off[i]), int(off[j])
         if b - a <= part:
             yield i, 0, data[a:b], off[i : j + 1] - a
@@ -218,17 +226,18 @@ def pack_bits(slots: np.ndarray, n: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def gather_filter(parts: DataFrame, bits: int, bucket_bits: int) -> BitFilter:
-    """parts: (bucket, bits of its range); 2^bits bits in all."""
+def gather_filters(packed: DataFrame, bits: int, bucket_bits: int, least: tuple[int, ...]) -> list[BitFilter]:
+    """Filters of 2^bits bits, which MOST_BITS bounds; they are broadcast."""
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = max(1, (1 << bits) >> bucket_bits >> 3)
-    words = np.zeros((1 << bits) // 8, np.uint8)
-    for r in parts.toLocalIterator():
-        words[r.bucket * size : (r.bucket + 1) * size] |= np.frombuffer(r.bits, np.uint8)
-    return BitFilter(bits, words)
+    out = [BitFilter(bits, np.zeros((1 << bits) // 8, np.uint8)) for _ in least]
+    for r in by_bucket(packed, parts, bits, bucket_bits, least).toLocalIterator():
+        out[r.k].words[r.bucket * size : (r.bucket + 1) * size] |= np.frombuffer(r.bits, np.uint8)
+    return out
 
 
-def by_bucket(packed: DataFrame, parts: int, bits: int, bucket_bits: int, least: int) -> DataFrame:
-    """From (bucket, 32-bit words) the filter ranges of the words that occur ``least`` times or more."""
+def by_bucket(packed: DataFrame, parts: int, bits: int, bucket_bits: int, least: tuple[int, ...]) -> DataFrame:
+    """From (bucket, 32-bit words) the filter ranges of the words that occur at least so often, for each of ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -237,8 +246,8 @@ def by_bucket(packed: DataFrame, parts: int, bits: int, bucket_bits: int, least:
         def close() -> pa.RecordBatch:
             rest, n = np.unique(np.frombuffer(b"".join(held), np.uint32), return_counts=True)
             width = bits - bucket_bits
-            slots = rest[n >= least] >> np.uint32(32 - width)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pack_bits(slots, 1 << width)], pa.binary())], names=["bucket", "bits"])
+            bit_rows = [pack_bits(rest[n >= x] >> np.uint32(32 - width), 1 << width) for x in least]
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(least), pa.int32()), pa.array(range(len(least)), pa.int32()), pa.array(bit_rows, pa.binary())], names=["bucket", "k", "bits"])
 
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -250,7 +259,7 @@ def by_bucket(packed: DataFrame, parts: int, bits: int, bucket_bits: int, least:
         if held:
             yield close()
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, bits binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, k int, bits binary")
 
 
 def deal(h: np.ndarray, bucket_bits: int) -> Iterator[pa.RecordBatch]:
@@ -269,114 +278,182 @@ def mix_place(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return splitmix(doc.astype(np.int64).view(np.uint64) + splitmix(lo.astype(np.uint64) + np.uint64(1)))
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, most: int = MOST, carry: list[str] | None = None) -> DataFrame:
+def packer(column: int, bucket_bits: int, hashes) -> Callable:  # noqa: ANN001
+    """A mapInArrow function that packs what ``hashes(batch)`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for i, j in slices(batch_sizes(batch), 4 << 20):
+                for h in hashes(batch.slice(i, j - i)):
+                    held.append(h)
+                    n += len(h)
+                if n >= 1 << 19:
+                    yield from deal(np.concatenate(held), bucket_bits)
+                    held, n = [], 0
+        if n:
+            yield from deal(np.concatenate(held), bucket_bits)
+
+    return run
+
+
+PACKED = "bucket int, words binary"
+
+
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, most: int = MOST, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
     """``carry`` (default: the id) with n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte offsets)."""
     spark = df.sparkSession
     carry = [id_col] if carry is None else carry
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("t"))
+    doc = F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc")
+    src = df.select(F.col(id_col).alias("id"), doc, F.col(text_col).alias("t"))
     kind = src.schema["id"].dataType.simpleString()
     n_anchors = 2 * (src.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // (width - gram)
     bits = min(MOST_BITS, max(LEAST_BITS, (2 * n_anchors).bit_length()))
     bucket_bits = min(bits - 3, max(8, (n_anchors >> 14).bit_length()))
 
-    def scan(batch: pa.RecordBatch, column: int, hasher: SpanHash) -> Iterator[tuple[int, int, np.ndarray, Anchors]]:
-        data, off = text_bytes(batch.column(column))
+    def scan(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Anchors]]:
+        data, off = text_bytes(column)
         for row, place, part, part_off in steps(data, off, width):
-            a = anchors(part, part_off, hasher, width, gram)
+            a = anchors(part, part_off, HASHER, width, gram)
             if a is not None:
-                yield row, place, part, a
-
-    # anchors that occur more than once
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, n = SpanHash(), [], 0
-        for batch in batches:
-            for i, j in slices(batch_sizes(batch), 8 << 20):
-                for _, _, _, a in scan(batch.slice(i, j - i), 0, hasher):
-                    held.append(a.gram)
-                    n += len(a.gram)
-                    if n >= 1 << 20:
-                        yield from deal(np.concatenate(held), bucket_bits)
-                        held, n = [], 0
-        if held:
-            yield from deal(np.concatenate(held), bucket_bits)
+                yield row, place, part, part_off, a
 
-    packed = src.select("t").mapInArrow(count, "bucket int, words binary")
-    again = spark.sparkContext.broadcast(gather_filter(by_bucket(packed, parts, bits, bucket_bits, 2), bits, bucket_bits))  # 2^MOST_BITS bits at most
+    # anchors that occur more than once, and often
+    packed = src.select("t").mapInArrow(packer(0, bucket_bits, lambda batch: (a.gram for *_, a in scan(batch.column(0)))), PACKED)
+    again, often = (spark.sparkContext.broadcast(x) for x in gather_filters(packed, bits, bucket_bits, (2, hot)))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHash()
         for batch in batches:
-            for i, j in slices(batch_sizes(batch), 8 << 20):
+            for i, j in slices(batch_sizes(batch), 4 << 20):
                 part = batch.slice(i, j - i)
-                for row, place, _, a in scan(part, 2, hasher):
+                docs = np.asarray(part.column(1))
+                for row, place, _, _, a in scan(part.column(2)):
                     k = np.flatnonzero(again.value.has(a.gram))
-                    if len(k):
-                        at = pa.array(row + a.row[k])
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array((place + a.lo[k]).astype(np.int32)), pa.array((a.hi - a.lo)[k].astype(np.int16)), pa.array(a.gram[k].view(np.int64)), pa.array(a.range_hash[k].view(np.int64))], names=["id", "doc", "lo", "n", "g", "sig"])
+                    if not len(k):
+                        continue
+                    at = row + a.row[k]
+                    salt = np.where(often.value.has(a.gram[k]), 1 + np.mod(docs[at], parts), 0).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(docs[at]), pa.array((place + a.lo[k]).astype(np.int32)), pa.array((a.hi - a.lo)[k].astype(np.int16)), pa.array(a.gram[k].view(np.int64)), pa.array(a.range_hash[k].view(np.int64)), pa.array(salt)], names=["id", "doc", "lo", "n", "g", "sig", "salt"])
 
     # places are below 2^31 because a Spark string is
-    occ = src.mapInArrow(places, f"id {kind}, doc bigint, lo int, n smallint, g bigint, sig bigint")
-    first = F.min(F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("doc").alias("doc"), F.col("lo").alias("lo")))
-    classes = materialize(occ.groupBy("g", "sig").agg(first.alias("f"), F.count("*").alias("c")), "classes")
-    copies = occ.join(classes.filter("c > 1").select("g", "sig", "f"), ["g", "sig"])
-    copies = copies.filter(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("doc") == F.col("f.doc")) & (F.col("lo") == F.col("f.lo"))))
-    copies = copies.select("id", "doc", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + width).alias("b"))
-
-    # first occurrences of classes that share an anchor, as strings
-    shared = materialize(classes.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1"), "shared")
-    marks = classes.join(shared.select("g"), "g", "left_semi").select(F.col("f.doc").alias("doc"), F.col("f.lo").alias("lo"))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from deal(mix_place(np.asarray(batch.column(0)), np.asarray(batch.column(1))), bucket_bits)
+    occ = src.mapInArrow(places, f"id {kind}, doc bigint, lo int, n smallint, g bigint, sig bigint, salt int")
+    occ = occ.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "sig", F.col("id").asc_nulls_last(), "doc", "lo")
+    found = materialize(occ.mapInArrow(lambda it: first_places(it, width), f"first boolean, id {kind}, doc bigint, a int, b int, g bigint"), "places")
+    copies = found.filter("NOT first").select("id", "doc", "a", "b")
+    firsts = found.filter("first").select("doc", "a", "g")
+
+    # the strings of first places
+    def mark(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield mix_place(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+
+    def own(column: int) -> Callable:
+        return lambda batch: iter([splitmix(np.asarray(batch.column(column)).view(np.uint64))])
 
-    wanted = spark.sparkContext.broadcast(gather_filter(by_bucket(marks.mapInArrow(mark, "bucket int, words binary"), parts, bits, bucket_bits, 1), bits, bucket_bits))
+    def raw_gram(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield np.asarray(batch.column(2)).view(np.uint64)
+
+    gather = lambda df, hashes, least: [spark.sparkContext.broadcast(x) for x in gather_filters(df.mapInArrow(packer(0, bucket_bits, hashes), PACKED), bits, bucket_bits, least)]
+    (wanted,) = gather(firsts, mark, (1,))
+    (has_first,) = gather(firsts, own(0), (1,))
+    (crowded,) = gather(firsts, raw_gram, (most,))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHash()
         for batch in batches:
-            for i, j in slices(batch_sizes(batch), 8 << 20):
+            keep = has_first.value.has(splitmix(np.asarray(batch.column(1)).view(np.uint64)))
+            batch = batch.filter(pa.array(keep))
+            for i, j in slices(batch_sizes(batch), 4 << 20):
                 part = batch.slice(i, j - i)
                 docs = np.asarray(part.column(1))
-                for row, place, data, a in scan(part, 2, hasher):
-                    off = np.cumsum(np.concatenate([[0], batch_lengths(part.column(2), row, a)])) if place == 0 else None
-                    k = np.flatnonzero(again.value.has(a.gram))
-                    k = k[wanted.value.has(mix_place(docs[row + a.row[k]], place + a.lo[k]))]
-                    if not len(k):
-                        continue
-                    begin = (off[a.row[k]] if off is not None else 0) + a.lo[k]
-                    end = begin + (a.hi - a.lo)[k] + width
-                    raw = data.tobytes()
-                    at = pa.array(row + a.row[k])
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array((place + a.lo[k]).astype(np.int32)), pa.array(a.gram[k].view(np.int64)), pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())], names=["id", "doc", "lo", "g", "s"])
-
-    ctx = src.mapInArrow(strings, f"id {kind}, doc bigint, lo int, g bigint, s binary").join(shared, "g")
-    plain = ctx.filter(F.col("k") <= most).select("g", F.lit(0).cast("bigint").alias("salt"), "id", "doc", "lo", "s")
-    window = F.explode(F.transform(F.sequence(F.lit(0), F.octet_length("s") - width), lambda o: F.struct(o.alias("o"), F.substring("s", o + 1, width).alias("w"))))
-    hot = ctx.filter(F.col("k") > most).select("g", "k", "id", "doc", "lo", window.alias("x"))
-    hot = hot.select("g", F.pmod(F.xxhash64("x.w"), F.ceil(F.col("k") / most)).alias("salt"), "id", "doc", (F.col("lo") + F.col("x.o")).alias("lo"), F.col("x.w").alias("s"))
-    ctx = plain.unionByName(hot).repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", F.col("id").asc_nulls_last(), "doc", "lo")
-    ragged = ctx.mapInArrow(lambda it: sort_strings(it, width), f"id {kind}, doc bigint, a int, b int")
-
-    spans = copies.unionByName(ragged).groupBy("id", "doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+                for row, place, data, off, a in scan(part.column(2)):
+                    k = np.flatnonzero(wanted.value.has(mix_place(docs[row + a.row], place + a.lo)))
+                    if len(k):
+                        yield cut_strings(part, row, place, data, off, a, k, crowded.value.has(a.gram[k]), width, parts)
+
+    ctx = src.mapInArrow(strings, f"id {kind}, doc bigint, lo int, g bigint, salt int, s binary")
+    ctx = ctx.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", F.col("id").asc_nulls_last(), "doc", "lo")
+    ragged = materialize(ctx.mapInArrow(lambda it: sort_strings(it, width), f"id {kind}, doc bigint, a int, b int"), "ragged")
+
+    spans = copies.unionByName(ragged)
+    (cut,) = gather(spans.select("doc", "a"), own(0), (1,))
+    spans = spans.groupBy("id", "doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = spans.withColumnsRenamed({"id": "id2", "doc": "doc2"})
-    whole = df.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("t"))
-    whole = whole.join(spans, F.col("id").eqNullSafe(F.col("id2")) & (F.col("doc") == F.col("doc2")), "left").select("row", "t", "spans")
+    whole = df.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(id_col).alias("id"), doc, F.col(text_col).alias("t"))
+
+    def part_of(inside: bool) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(cut.value.has(splitmix(np.asarray(batch.column(2)).view(np.uint64))) == inside))
+
+        return run
+
     runs = "array<struct<a:bigint,b:bigint>>"
-    got = whole.mapInArrow(cut_out, f"row {whole.schema['row'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed {runs}")
+    result = f"row {whole.schema['row'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed {runs}"
+    touched = whole.mapInArrow(part_of(True), whole.schema).join(spans, F.col("id").eqNullSafe(F.col("id2")) & (F.col("doc") == F.col("doc2")), "left").select("row", "t", "spans")
+    clean = whole.mapInArrow(part_of(False), whole.schema).select("row", "t", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
+    got = touched.mapInArrow(cut_out, result).unionByName(clean.mapInArrow(cut_out, result))
     return got.select(*[F.col("row").getField(c).alias(c) for c in carry], "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
 
 
-def batch_lengths(column: pa.Array, row: int, a: Anchors) -> np.ndarray:
-    """Byte lengths of the texts of a step, up to the last that has an anchor."""
-    _, off = text_bytes(column)
-    return np.diff(off)[row : row + int(a.row.max()) + 1]
+HASHER = SpanHash()
 
 
-def sort_strings(batches: Iterator[pa.RecordBatch], width: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """(g, salt, id, doc, lo, s), sorted: the repeated runs of windows. Strings of one anchor are sorted together."""
+def first_places(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Places sorted by (g, salt, sig, id, doc, lo): those whose range occurs before, as (a, b), and the first ones of anchors with several ranges."""
+    held: pa.Table | None = None
+
+    def work(t: pa.Table) -> pa.RecordBatch | None:
+        g, salt, sig, doc, lo, n = (np.asarray(t.column(c)) for c in ("g", "salt", "sig", "doc", "lo", "n"))
+        new_g = np.concatenate([[True], (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])])
+        new = new_g.copy()
+        new[1:] |= sig[1:] != sig[:-1]
+        group = np.cumsum(new_g) - 1
+        several = (np.bincount(group, weights=new) > 1)[group] | (salt > 0)
+        again = np.concatenate([[False], (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1])]) & ~new
+        keep = np.flatnonzero((~new & ~again) | (new & several))
+        if not len(keep):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(new[keep]), t.column("id").combine_chunks().take(pa.array(keep)), pa.array(doc[keep]), pa.array(lo[keep].astype(np.int32)), pa.array((lo + n + width)[keep].astype(np.int32)), pa.array(g[keep])], names=["first", "id", "doc", "a", "b", "g"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        g, salt = np.asarray(t.column("g")), np.asarray(t.column("salt"))
+        # the last anchor may go on in the next batch
+        end = int(np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])]))[-1])
+        held = t.slice(end)
+        if end and (out := work(t.slice(0, end))) is not None:
+            yield out
+    if held is not None and (out := work(held)) is not None:
+        yield out
+
+
+def cut_strings(part: pa.RecordBatch, row: int, place: int, data: np.ndarray, off: np.ndarray, a: Anchors, k: np.ndarray, crowded: np.ndarray, width: int, salts: int) -> pa.RecordBatch:
+    """The ranges of places k as strings; of crowded anchors each window, dealt by its hash."""
+    raw = data.tobytes()
+    at = row + a.row[k]
+    begin = off[a.row[k]] + a.lo[k]
+    size = (a.hi - a.lo)[k] + 1
+    lo = place + a.lo[k]
+    one = np.flatnonzero(~crowded)
+    many = np.repeat(np.flatnonzero(crowded), size[crowded])
+    step = np.arange(len(many)) - np.repeat(np.cumsum(size[crowded]) - size[crowded], size[crowded])
+    pick = np.concatenate([one, many])
+    shift = np.concatenate([np.zeros(len(one), np.int64), step])
+    x = begin[pick] + shift
+    y = x + np.concatenate([size[one] - 1, np.zeros(len(many), np.int64)]) + width
+    salt = np.zeros(len(pick), np.int32)
+    if len(many):
+        h = splitmix(HASHER.spans(HASHER.sums(data), x[len(one) :], y[len(one) :]))
+        salt[len(one) :] = 1 + (h % np.uint64(salts)).astype(np.int32)
+    rows = pa.array(at[pick])
+    return pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array((lo[pick] + shift).astype(np.int32)), pa.array(a.gram[k][pick].view(np.int64)), pa.array(salt), pa.array([raw[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], pa.binary())], names=["id", "doc", "lo", "g", "salt", "s"])
+
+
+def sort_strings(batches: Iterator[pa.RecordBatch], width: int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """(id, doc, lo, g, salt, s), sorted by (g, salt, id, doc, lo): the repeated runs of windows. Strings of one anchor are sorted together."""
     held: list[tuple] = []
     size, now, last = 0, None, None
 
@@ -397,8 +474,8 @@ def sort_strings(batches: Iterator[pa.RecordBatch], width: int, limit: int = 1 <
 
     id_type = None
     for batch in batches:
-        id_type = batch.column(2).type
-        for g, salt, i, d, lo, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        id_type = batch.column(0).type
+        for i, d, lo, g, salt, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (g, salt) != now and size > limit:
                 yield close()
                 held, size = [], 0
