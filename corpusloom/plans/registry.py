@@ -36,4 +36,8 @@ MODULES = (
     "operators.matching",
     "operators.markup",
     "operators.batching",
+    "operators.tensors",
+    "operators.words",
+    "operators.codec",
+    "streaming.online",
 )
