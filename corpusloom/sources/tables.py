@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,6 @@ def read_half_rows(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 def to_half(column: str) -> Column:
     """An array of floats as little-endian float16 bytes, rounded to even."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def half(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else np.asarray(v, np.float32).astype("<f2").tobytes())
