@@ -131,6 +131,8 @@ BUCKETS = 1 << 14
 
 
 def shape(word: str) -> str:
+    if len(word) >= 8 and not word.isalpha() and not word.isdigit():
+        return "M" + ("A" if word.isupper() else "a")  # letters among digits, as in keys
     s = re.sub(r"[A-Z]+", "A", re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"\d", "9", word)))
     return re.sub(r"(9{4})9+", r"\1+", s)
 
@@ -146,7 +148,7 @@ def token_features(words: list[str]) -> list[list[int]]:
         cue = [words[j].lower() if 0 <= j < n and (words[j].lower() in TRIGGERS or len(words[j]) == 1) else "" for j in (k - 2, k - 1, k + 1, k + 2)]
         mixed = any(c.isdigit() for c in w) and any(c.isalpha() for c in w)
         feats = [f"s{shapes[k]}", f"n{min(len(w), 16) // 2}/{mixed}", f"e{low[:2]}/{low[-2:]}", f"l{near[1]}/{shapes[k]}", f"r{shapes[k]}/{near[2]}", f"ll{near[0]}", f"rr{near[3]}"]
-        feats += [f"c{j}{c}" for j, c in enumerate(cue) if c]
+        feats += [f"c{j}{c}" for j, c in enumerate(cue) if c] + [f"k{cue[0]}{cue[1]}/{mixed}"]
         if low in TRIGGERS or len(w) == 1:
             feats.append(f"w{low}")
         if k and words[k - 1].lower() in ("call", "tel", "phone", "iban", "account", "ssn", "number", "dial"):
