@@ -88,8 +88,10 @@ def per_document(spark: SparkSession, sf_dir: str, fn, names: tuple[str, str]) -
 
 
 GRAM_SQL = """
-WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) - 6)) AS p FROM documents),
-g AS (SELECT doc_id, p, substr(text, p, 8) AS g, substr(text, p + 8, 1) AS nxt FROM p)
+WITH ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS p FROM documents WHERE text <> ''),
+k AS (SELECT doc_id, p, c || lead(c, 1) OVER w || lead(c, 2) OVER w || lead(c, 3) OVER w || lead(c, 4) OVER w || lead(c, 5) OVER w || lead(c, 6) OVER w || lead(c, 7) OVER w AS g, lead(c, 8) OVER w AS nxt
+      FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT * FROM k WHERE g IS NOT NULL)
 """
 
 

@@ -39,5 +39,6 @@ MODULES = (
     "operators.tensors",
     "operators.words",
     "operators.codec",
+    "operators.models",
     "streaming.online",
 )
