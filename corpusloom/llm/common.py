@@ -72,6 +72,11 @@ def batch_sizes(batch: pa.RecordBatch) -> np.ndarray:
     return n
 
 
+def text_sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each text, and a few more for the row."""
+    return np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64) + 16
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixer."""
     x = x.astype(np.uint64, copy=True)
@@ -134,3 +139,14 @@ class SpanHash:
 
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (sums[ends] - sums[starts]) * self.down[starts]
+
+
+def row_and_text(df: DataFrame, carry: list[str], text_col: str) -> DataFrame:
+    """(__row, __text): the carried columns as a struct, and the text unless the struct holds it."""
+    text = F.lit(None).cast("string") if text_col in carry else F.col(text_col)
+    return df.select(F.struct(*[F.col(c) for c in carry]).alias("__row"), text.alias("__text"))
+
+
+def texts_of(batch: pa.RecordBatch, carry: list[str], text_col: str) -> pa.Array:
+    """The texts of a batch of ``row_and_text``."""
+    return batch.column(0).field(carry.index(text_col)) if text_col in carry else batch.column(1)

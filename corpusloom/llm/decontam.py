@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD_TABLE, batch_sizes, slices
+from corpusloom.llm.common import WORD_TABLE, row_and_text, slices, text_sizes, texts_of
 
 WIDTH = 10
 SHARD_BYTES = 8 << 20
@@ -108,9 +108,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     """``carry`` (default: doc_id) with n_words, n_hit, n_items, items_sha256, contaminated and, if asked for, the hit spans in code points."""
     carry = ["doc_id"] if carry is None else carry
     hits = "array<struct<a:bigint,b:bigint>>"
-    cur = df.select(
-        F.struct(*[F.col(c) for c in carry]).alias("row"),
-        F.col(text_col).alias("t"),
+    cur = row_and_text(df, carry, text_col).select(
+        F.col("__row").alias("row"),
+        F.col("__text").alias("t"),
         F.lit(0).cast("bigint").alias("n"),
         F.array().cast(hits).alias("runs"),
         F.array().cast("array<string>").alias("items"),
@@ -126,11 +126,11 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
         def run(batches: Iterator[pa.RecordBatch], known=known, last=last) -> Iterator[pa.RecordBatch]:
             auto, ids = build(known.value, width)
             for batch in batches:
-                for i, j in slices(batch_sizes(batch), 8 << 20):
+                for i, j in slices(text_sizes(texts_of(batch, carry, text_col)), 4 << 20):
                     yield one(batch.slice(i, j - i), auto, ids, last)
 
         def one(batch: pa.RecordBatch, auto: ahocorasick.Automaton | None, ids: list[str], last: bool) -> pa.RecordBatch:
-            texts = batch.column(1).to_pylist()
+            texts = texts_of(batch, carry, text_col).to_pylist()
             old_runs, old_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             count, runs, found, chars = [], [], [], []
             for t, r, w in zip(texts, old_runs, old_items, strict=True):

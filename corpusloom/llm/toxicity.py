@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import WORD_TABLE, bounded_sample, map_text
+from corpusloom.llm.common import WORD_TABLE, bounded_sample, map_text, row_and_text, texts_of
 
 BOUND = 4000
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -261,14 +261,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 0.00
 def score_toxicity(df: DataFrame, lex: Lexicon, text_col: str = "text", carry: list[str] | None = None, cut: float = 0.3) -> DataFrame:
     """``carry`` (default: doc_id) with score and predicted."""
     carry = ["doc_id"] if carry is None else carry
-    src = df.select(F.struct(*[F.col(c) for c in carry]).alias("__row"), F.col(text_col).alias("__text"))
+    src = row_and_text(df, carry, text_col)
     schema = T.StructType([src.schema["__row"], T.StructField("score", T.DoubleType())])
     known = df.sparkSession.sparkContext.broadcast(lex)  # at most 2000 terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = known.value.automaton()
         for batch in batches:
-            s = [known.value.score(t, auto) for t in batch.column(1).to_pylist()]
+            s = [known.value.score(t.as_py(), auto) for t in texts_of(batch, carry, text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["__row", "score"])
 
     out = src.mapInArrow(run, schema)
