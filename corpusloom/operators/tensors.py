@@ -62,7 +62,7 @@ c AS (SELECT vec_id, 0 AS mode, n * log2(15) AS bits FROM a UNION ALL SELECT vec
 """
 
 
-@query("best_encoding", Q_SQL + CANDIDATES_SQL + "SELECT vec_id, CAST(arg_min(mode, round(bits, 3) * 10 + mode) AS INT) AS mode, round(min(bits), 3) AS bits FROM c GROUP BY vec_id")
+@query("best_encoding", Q_SQL + CANDIDATES_SQL + "SELECT vec_id, CAST(arg_min(mode, round(bits, 3) * 1000000 + mode) AS INT) AS mode, round(min(bits), 3) AS bits FROM c GROUP BY vec_id")
 def best_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shortest of: fixed length, adaptive symbols, adaptive differences modulo 15; ties to the lower mode."""
     v = quantized(spark, sf_dir)
