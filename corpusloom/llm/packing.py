@@ -39,8 +39,8 @@ from corpusloom.session import materialize
 
 SEQUENCE = 4096
 END_ID = 1
-#: Words whose ids a worker keeps, about 150 MB; then it starts anew.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker keeps, about 100 MB; then it starts anew.
+CACHE_WORDS = 400_000
 #: Most tasks of one epoch.
 MAX_TASKS = 4096
 
@@ -108,7 +108,7 @@ class WordCoder:
             else:
                 easy.append(raw)
                 rows.append(k)
-        for i, j in slices(np.array([len(x) + 1 for x in easy], np.int64), 4 << 20):
+        for i, j in slices(np.array([len(x) + 1 for x in easy], np.int64), 2 << 20):
             for k, ids in zip(rows[i:j], self._encode(easy[i:j]), strict=True):
                 out[k] = ids
         return out
