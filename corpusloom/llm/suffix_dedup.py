@@ -134,7 +134,6 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    _, s = np.unique(s, return_inverse=True)
     base = int(s.max()) + 2
     t = np.concatenate([s.astype(np.int64) + 1, np.zeros(4, np.int64)])
     pos = np.arange(n + (n % 3 == 1))  # one more triple of padding, so that the last suffix of the first kind ends in it
@@ -162,9 +161,12 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     first = sorted_sample[sorted_sample % 3 == 1]
     second = sorted_sample[sorted_sample % 3 == 2]
     before1 = np.searchsorted(t[first] * m + rank[first + 1], t[zero] * m + rank[zero + 1])
-    # two numbers and a rank may not fit a word: name the pairs first
-    _, pair = np.unique(np.concatenate([t[second] * base + t[second + 1], t[zero] * base + t[zero + 1]]), return_inverse=True)
-    before2 = np.searchsorted(pair[: len(second)] * m + rank[second + 2], pair[len(second) :] * m + rank[zero + 2])
+    pair2, pair0 = t[second] * base + t[second + 1], t[zero] * base + t[zero + 1]
+    if base * base * m >= 1 << 62:
+        # two numbers and a rank don't fit a word: name the pairs first
+        _, pair = np.unique(np.concatenate([pair2, pair0]), return_inverse=True)
+        pair2, pair0 = pair[: len(second)], pair[len(second) :]
+    before2 = np.searchsorted(pair2 * m + rank[second + 2], pair0 * m + rank[zero + 2])
     out = np.full(n, -1, np.int64)
     out[np.arange(len(zero)) + before1 + before2] = zero
     out[out < 0] = sorted_sample
