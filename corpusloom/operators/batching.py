@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.plans.ordered import ordered
+from corpusloom.plans.ordered import BUCKET, ordered
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
@@ -117,7 +121,7 @@ SELECT doc_id, block, CAST(bin AS INT) AS bin, CAST(start AS INT) AS start FROM
 """,
 )
 def next_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-preserving next-fit packing; a fold over each block of 256 consecutive ids, so arrays stay short."""
+    """Order-preserving next-fit packing of documents cut to 8192 characters, anew in each block of 256 ids; ``next_fit_pieces`` has no cut."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"doc_id div {PACK_BLOCK}").alias("block"), F.least(F.lit(PACK), F.length("text")).alias("n"))
     g = d.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("a"))
     zero = F.expr("named_struct('bin', 0, 'end', 0, 'out', cast(array() as array<struct<doc_id:bigint,bin:int,start:int>>))")
@@ -132,6 +136,94 @@ def next_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("x.doc_id", "block", "x.bin", "x.start")
 
 
+def piece_lengths(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of these lengths: the document of each piece, the piece's number, its length."""
+    count = np.maximum(1, -(-n // PIECE))
+    doc = np.repeat(np.arange(len(n)), count)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    return doc, piece, np.minimum(PIECE, n[doc] - piece * PIECE)
+
+
+def next_starts(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the pieces when laid in a row, and for each piece the one that starts the next bin if it starts one."""
+    end = np.cumsum(length)
+    return end, np.searchsorted(end, end - length + PACK, side="right")
+
+
+def block_effect(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a block does to an open bin. With room r, its first new bin starts at piece searchsorted(ends, r, right); then so many bins are opened and the last is filled so far."""
+    end, after = next_starts(length)
+    m, size = min(len(end), int(np.searchsorted(end, PACK, side="right")) + 1), len(end)
+    bins, fill = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for i in range(size - 1, -1, -1):
+        j = after[i]
+        bins[i], fill[i] = (1, end[-1] - end[i] + length[i]) if j == size else (1 + bins[j], fill[j])
+    return end[:m], bins[:m], fill[:m]
+
+
+def place_pieces(length: np.ndarray, bin_: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and start of each piece, going on in a bin that is filled so far."""
+    end, after = next_starts(length)
+    starts, i = [], int(np.searchsorted(end, PACK - fill, side="right"))
+    while i < len(end):
+        starts.append(i)
+        i = int(after[i])
+    k = np.searchsorted(np.array(starts, np.int64), np.arange(len(end)), side="right")
+    base = np.concatenate([[-fill], (end - length)[starts]]).astype(np.int64)
+    return bin_ + k, end - length - base[k]
+
+
+@query(
+    "next_fit_pieces",
+    f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents),
+p AS (SELECT doc_id, n, unnest(range(0, greatest(1, n), {PIECE})) AS start FROM t),
+o AS (SELECT doc_id, CAST(start // {PIECE} AS INT) AS piece, CAST(least({PIECE}, n - start) AS INT) AS length, row_number() OVER w AS i, CAST(sum(least({PIECE}, n - start)) OVER w AS BIGINT) AS e FROM p WINDOW w AS (ORDER BY doc_id, p.start ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT e AS at_, i, CAST(NULL AS BIGINT) AS asks FROM o UNION ALL SELECT e - length + {PACK}, NULL, i FROM o),
+j AS (SELECT asks AS i, max(i) OVER (ORDER BY at_ RANGE UNBOUNDED PRECEDING) + 1 AS j FROM v),
+x AS (SELECT i, j FROM j WHERE i IS NOT NULL),
+f AS (SELECT CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS bin UNION ALL SELECT x.j, f.bin + 1 FROM f JOIN x ON x.i = f.i),
+b AS (SELECT o.*, max(f.bin) OVER w AS bin, max(CASE WHEN f.i IS NOT NULL THEN o.e - o.length END) OVER w AS base FROM o LEFT JOIN f ON f.i = o.i WINDOW w AS (ORDER BY o.i ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, piece, length, bin, CAST(e - length - base AS INT) AS start FROM b
+""",
+)
+def next_fit_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-fit packing of all pieces (as in ``split_pieces``) in one order: each block of ids tells what it does to an open bin, and one row per block carries the bin on."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"(doc_id - pmod(doc_id, {BUCKET})) div {BUCKET}").alias("block"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"))
+    g = d.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("a")).select("block", F.col("a.doc_id").alias("ids"), F.col("a.n").alias("n"))
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                length = piece_lengths(n.values.to_numpy())[2]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([length.sum()], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in block_effect(length))], names=["block", "total", "ends", "bins", "fills"])
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bin_ = fill = 0
+        for batch in batches:
+            out = []
+            for block, total, ends, bins, fills in zip(*(batch.column(k) for k in range(5)), strict=True):
+                out.append((block.as_py(), bin_, fill))
+                if fill + total.as_py() <= PACK:
+                    fill += total.as_py()
+                else:
+                    i = int(np.searchsorted(ends.values.to_numpy(), PACK - fill, side="right"))
+                    bin_, fill = bin_ + bins.values[i].as_py(), fills.values[i].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, names=["block", "bin", "fill"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, n, bin_, fill in zip(*(batch.column(k) for k in range(4)), strict=True):
+                doc, piece, length = piece_lengths(n.values.to_numpy())
+                bins, start = place_pieces(length, bin_.as_py(), fill.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(ids.values.to_numpy()[doc], pa.int64()), *(pa.array(x.astype(np.int32)) for x in (piece, length)), pa.array(bins, pa.int64()), pa.array(start.astype(np.int32))], names=["doc_id", "piece", "length", "bin", "start"])
+
+    e = g.select("block", "n").mapInArrow(effects, "block bigint, total bigint, ends array<bigint>, bins array<bigint>, fills array<bigint>")
+    # one row per block
+    opened = e.repartition(1).sortWithinPartitions("block").mapInArrow(carry, "block bigint, bin bigint, fill bigint")
+    return g.join(opened, "block").select("ids", "n", "bin", "fill").mapInArrow(place, "doc_id bigint, piece int, length int, bin bigint, start int")
+
+
 @query(
     "micro_batch_groups",
     """

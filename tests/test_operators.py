@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import numeric as N
-from corpusloom.operators import codec, matching, markup, symbols, words
+from corpusloom.operators import batching, codec, matching, markup, symbols, words
 from corpusloom.plans.ordered import ordered
 from corpusloom.sources import tables
 from corpusloom.streaming import online
@@ -115,3 +115,29 @@ def test_online_mean_equals_batch(spark, sf_dir, tmp_path):
     want = {r.user_id: (r.n, r.m) for r in events.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("m")).collect()}
     assert out.keys() == want.keys()
     assert all(out[k][0] == want[k][0] and abs(out[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def next_fit(lengths, limit):
+    bin_, end, out = 0, 0, []
+    for n in lengths:
+        if end + n > limit:
+            bin_, end = bin_ + 1, 0
+        out.append((bin_, end))
+        end += n
+    return out
+
+
+def test_next_fit_places_every_character_in_one_order(spark, tmp_path):
+    rng = random.Random(9)
+    # blocks of ids with gaps, a block smaller than a bin, long, empty and null texts
+    ids = [*range(-3, 40), *range(4090, 4100), *range(9000, 9003), *range(20_000, 20_030)]
+    size = {k: rng.choice((0, 1, 700, 2047, 2048, 2049, 6000, 8192, 8193, 30_000)) for k in ids}
+    size |= {9000: 3, 9001: 0, 9002: 5}
+    rows = [(k, None if k == 1 else "x" * size[k]) for k in ids]
+    size[1] = 0
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.piece, r.length, r.bin, r.start) for r in batching.next_fit_pieces(spark, str(tmp_path)).collect())
+    want = [(k, p, min(2048, size[k] - p * 2048)) for k in ids for p in range(max(1, -(-size[k] // 2048)))]
+    assert got == [(*w, *at) for w, at in zip(want, next_fit([w[2] for w in want], 8192), strict=True)]
+    assert sum(r[2] for r in got) == sum(size.values())
