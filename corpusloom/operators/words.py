@@ -51,26 +51,39 @@ def dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("w").alias("word"), "n", "rank", code.alias("code"))
 
 
-@query(
-    "affix_match",
-    WORDS_SQL
-    + f""", d AS (SELECT w FROM r WHERE rank < {DICTIONARY} AND length(w) >= 7), o AS (SELECT w FROM r WHERE rank >= {DICTIONARY} AND length(w) > 7),
+def affix_sql(size: int) -> str:
+    return (
+        WORDS_SQL
+        + f""", d AS (SELECT w FROM r WHERE rank < {size} AND length(w) >= 7), o AS (SELECT w FROM r WHERE rank >= {size} AND length(w) > 7),
 x AS (SELECT o.w, 'suffix' AS kind, k, right(o.w, k) AS affix FROM o, unnest(range(7, length(o.w))) t(k) UNION ALL SELECT o.w, 'prefix', k, left(o.w, k) FROM o, unnest(range(7, length(o.w))) t(k)),
 m AS (SELECT x.*, row_number() OVER (PARTITION BY x.w ORDER BY kind DESC, k DESC) AS i FROM x JOIN d ON d.w = x.affix)
-SELECT w AS word, kind, affix FROM m WHERE i = 1""",
-)
-def affix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For words outside the dictionary the longest suffix, else the longest prefix, of 7 letters or more that is in it."""
-    counts = word_counts(spark, sf_dir)
-    top = ranked(counts, DICTIONARY).select("w")
+SELECT w AS word, kind, affix FROM m WHERE i = 1"""
+    )
+
+
+def affixes(counts: DataFrame, size: int) -> DataFrame:
+    """For words outside the ``size`` most frequent ones the longest suffix, else the longest prefix, of 7 letters or more that is among these."""
+    top = ranked(counts, size).select("w")
     known = top.filter(F.length("w") >= 7).select(F.col("w").alias("affix"))
     rest = counts.filter(F.length("w") > 7).join(top, "w", "left_anti").select("w", F.explode(F.sequence(F.lit(7), F.length("w") - 1)).alias("k"))
     both = rest.select("w", "k", F.inline(F.array(F.struct(F.lit(1).alias("s"), F.expr("right(w, k)").alias("affix")), F.struct(F.lit(0).alias("s"), F.expr("left(w, k)").alias("affix")))))
-    # the dictionary has at most DICTIONARY rows
+    # the dictionary has at most ``size`` rows
     hit = both.join(F.broadcast(known), "affix").groupBy("w").agg(F.max(F.struct("s", "k", "affix")).alias("m"))
     return hit.select(F.col("w").alias("word"), F.when(F.col("m.s") == 1, "suffix").otherwise("prefix").alias("kind"), F.col("m.affix").alias("affix"))
 
 
+@query("affix_match", affix_sql(DICTIONARY))
+def affix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affixes in a dictionary of the 4000 most frequent words; ``affix_match_full`` has the whole one."""
+    return affixes(word_counts(spark, sf_dir), DICTIONARY)
+
+
+@query("affix_match_full", affix_sql(ONE + TWO + THREE))
+def affix_match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affixes in the dictionary of all words that have a code."""
+    return affixes(word_counts(spark, sf_dir), ONE + TWO + THREE)
+
+
 VOWEL = "[aeiouy]"
 REGION = re.compile(f"{VOWEL}[^aeiouy](.*)$")
 # fixed values: suffixes of the second, third and fourth step and what stands for them

@@ -141,3 +141,17 @@ def test_next_fit_places_every_character_in_one_order(spark, tmp_path):
     want = [(k, p, min(2048, size[k] - p * 2048)) for k in ids for p in range(max(1, -(-size[k] // 2048)))]
     assert got == [(*w, *at) for w, at in zip(want, next_fit([w[2] for w in want], 8192), strict=True)]
     assert sum(r[2] for r in got) == sum(size.values())
+
+
+def test_affixes_use_every_word_with_a_code(spark, tmp_path):
+    # more words than the short dictionary holds, by falling counts: (a) in it, (b) beyond 4000, (c) without a code
+    def name(k):
+        return "".join(chr(97 + k // 26**j % 26) for j in range(4))
+
+    filler = [f"{name(k)}fill" for k in range(words.ONE + words.TWO + words.THREE - 2)]
+    text = " ".join(["holiday holiday holiday holiday", *(f"{x} {x} {x}" for x in filler), "mountain mountain", "xmountain qholidayq preholiday mountains unknownword"])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: (r.kind, r.affix) for r in words.affix_match_full(spark, str(tmp_path)).collect()}
+    assert got == {"xmountain": ("suffix", "mountain"), "preholiday": ("suffix", "holiday"), "mountains": ("prefix", "mountain")}
+    codes = {r.word for r in words.dictionary_codes(spark, str(tmp_path)).collect()}
+    assert "mountain" in codes and not codes & set(got)
