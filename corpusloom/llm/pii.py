@@ -10,8 +10,9 @@ word shape (runs of A, a and 9 shortened), its length class, two letters of eith
 end, and the shapes of the neighbours. It is trained by gradient steps on the exact
 likelihood over the small labelled table below, and decoded by Viterbi in numpy over
 batches of equally padded segments. A segment is a run of tokens around those with a
-digit, an ``@`` or a word of the trigger list: with none of these within ``REACH``
-tokens, the label is O.
+digit, an ``@``, a word of ``STRONG`` or part of a cue (a name with ``at`` between
+brackets or before a dotted name; ``key`` before ``=`` or ``:``): with none of these
+within ``REACH`` tokens, the label is O.
 
 Defined results: a null text counts as empty; spans are code point offsets with the
 end exclusive; a field span that overlaps a base span is dropped, so base spans stay.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -123,8 +125,10 @@ TABLE = (
     "hay 45 casas y 12 calles",
     "es gibt 30 Tage und 12 Monate",
 )
-TRIGGERS = frozenset(("at", "dot", "punkt", "password", "token", "secret", "key", "api_key"))
-STRONG = frozenset(("dot", "punkt", "password", "token", "secret", "api_key"))
+TRIGGERS = frozenset(("at", "dot", "punkt", "password", "token", "secret", "key"))
+STRONG = frozenset(("dot", "punkt", "password", "token", "secret"))
+# places that open a segment without a hot word: ``at`` between brackets or before a dotted name, ``key`` before a value
+CUE = r"[(\[{<][^\S\n]{0,4}at[^\S\n]{0,4}[)\]}>](?:[^\S\n]{0,4}[\w-]++(?:\.[\w-]++)*+)?|\bat[^\S\n]{1,4}[\w-]++(?:\.[\w-]++)++|(?<![^\W_])key[\"']?[^\S\n]{0,4}[=:]"
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 REACH = 4
 BUCKETS = 1 << 14
@@ -250,13 +254,30 @@ def train_crf(table: tuple[str, ...] = TABLE, steps: int = 60, rate: float = 0.3
     return m
 
 
+def cues(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Places of CUE, and with an ``at`` the name before it; a place never reaches into the one before."""
+    for m in CUES.finditer(text, start, end):
+        a = m.start()
+        if text[a] not in "kK":
+            while a > start and m.start() - a < 4 and text[a - 1].isspace():
+                a -= 1
+            while a > start and (text[a - 1] in LOCAL or text[a - 1].isalnum()):
+                a -= 1
+        yield a, m.end()
+        start = m.end()
+
+
 def segments(text: str) -> Iterator[list[re.Match]]:
     """Runs of tokens within REACH of a token that may be personal data."""
     for line in LINE.finditer(text):
         if not TRIGGER.search(line.group()):
             continue
         toks = list(TOKEN.finditer(text, line.start(), line.end()))
-        hot = [k for k, m in enumerate(toks) if (w := m.group()) == "@" or w.lower() in STRONG or any(c.isdigit() for c in w)]
+        hot = {k for k, m in enumerate(toks) if (w := m.group()) == "@" or w.lower() in STRONG or any(c.isdigit() for c in w)}
+        starts = [m.start() for m in toks]
+        for x, y in cues(text, line.start(), line.end()):
+            hot.update(range(bisect_left(starts, x), bisect_left(starts, y)))
+        hot = sorted(hot)
         a = 0
         while a < len(hot):
             b = a
@@ -267,7 +288,8 @@ def segments(text: str) -> Iterator[list[re.Match]]:
 
 
 LINE = re.compile(r"[^\n]+")
-TRIGGER = re.compile(r"[0-9@]|\b(?:dot|punkt|password|token|secret|api_key)\b", re.I)
+CUES = re.compile(CUE, re.I)
+TRIGGER = re.compile(rf"[0-9@]|(?<![^\W_])(?:{'|'.join(sorted(STRONG))})(?![^\W_])|{CUE}", re.I)
 #: Tokens of one Viterbi batch.
 BATCH = 20_000
 

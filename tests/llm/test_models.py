@@ -153,3 +153,32 @@ def test_pii_query(spark):
     assert (by[1].n_email, by[1].n_phone, by[4].n_ip, by[None].n_card) == (1, 1, 1, 1)
     assert by[2].spans == by[3].spans == by[5].spans == ""
     assert by[4].spans.startswith("ip:") and "secret:" in by[4].spans
+
+
+def test_every_labelled_form_is_found(spark):
+    mark = re.compile(r"\[(email|phone|secret|account|ssn) (.*?)\](?=\s|$)")
+    rows, want = [], {}
+    for k, row in enumerate(pii.TABLE):
+        text, spans, at = "", [], 0
+        for m in mark.finditer(row):
+            text += row[at : m.start()]
+            spans.append((m[1], len(text), len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+        rows.append((k, text + row[at:]))
+        want[k] = spans
+    got = {r.doc_id: [tuple(x) for x in r.added] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_obfuscated_addresses_without_digits():
+    crf = pii.train_crf()
+    for own in ("info(at)shop.example.net", "max.muster [at] post.example.org", "first.middle.last.more(at)a.b.c.example.net"):
+        for text in (f"mail {own} please", f"a line\nwrite to {own} for more\nanother"):
+            assert [(k, text[a:b]) for k, a, b in pii.field_spans([text], crf)[0]] == [("email", own)], text
+    for text in ("we met at noon", "look at it (at home)", "the key to it", "monkey: a film", "nothing here"):
+        assert not pii.TRIGGER.search(text) and not list(pii.segments(text)), text
+
+
+@pytest.mark.parametrize("text", ["api_key = sesameopen", "access_token=sesameopen", "CLIENT_SECRET: sesameopen", '"key": "sesameopen"', "my_password=sesameopen", "mail sesameopen at shop.example.net"])
+def test_cues_open_a_segment(text):
+    assert "sesameopen" in [m.group() for seg in pii.segments(text) for m in seg]
