@@ -190,7 +190,9 @@ def labelled(df: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_
     # at most 2.4 x bound ids
     rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), id_col).select("y", "t").limit(5 * bound)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))
-    rows = rows.withColumn("w", F.filter(F.split(F.lower("t"), r"\W+"), lambda x: x != "")).withColumn("g", grams)
+    # a text without words stands for itself
+    grams = F.when(F.size("w") == 0, F.array(F.xxhash64("t"))).otherwise(grams)
+    rows = rows.withColumn("w", F.regexp_extract_all(F.lower("t"), F.lit(WORD.pattern), 0)).withColumn("g", grams)
 
     def sketch(salt: int) -> Column:
         return F.array_min(F.transform("g", lambda x: F.xxhash64(x, F.lit(salt))))

@@ -155,6 +155,17 @@ def test_pii_query(spark):
     assert by[4].spans.startswith("ip:") and "secret:" in by[4].spans
 
 
+def test_near_copies_are_told_by_words_of_any_script(spark):
+    words = ["дурак", "погода", "сегодня", "хорошая", "книга", "город", "улица", "река", "лес", "зима"]
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(30)] + ["!!!", "???", "...", "!!!"] + ["the same words in one text again"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(len(texts))], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, F.lit(True), "doc_id", "text", "toxic", 4000).collect()
+    # near copies among the random texts are not wanted here, so each has its own words
+    assert sorted(r.t for r in got) == sorted(set(texts))
+
+
 def test_every_labelled_form_is_found(spark):
     mark = re.compile(r"\[(email|phone|secret|account|ssn) (.*?)\](?=\s|$)")
     rows, want = [], {}
