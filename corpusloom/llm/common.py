@@ -99,16 +99,37 @@ WORD_ARRAY = np.frombuffer(WORD_TABLE, np.uint8)
 
 
 def bounded_sample(df: DataFrame, group: str, bound: int, seed: int = 7) -> DataFrame:
-    """About ``bound`` rows of each value of ``group``, never more than 1.2 times as many, chosen by a hash of the row."""
-    n = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
+    """Distinct rows, chosen by a hash of the row: all of a value of ``group`` that has at most ``bound`` rows, else each with probability bound / rows.
+
+    The number chosen is binomial with mean ``bound`` at most. Rows that are alike are
+    chosen together and count once, so a value with many copies gives fewer. Two scans
+    serve all groups; only chosen rows are shuffled.
+    """
+    n = df.groupBy(group).agg(F.count("*").alias("__n"))
     h = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != group], F.lit(seed)), F.lit(1 << 40))
-    parts = []
-    for k, v in n.items():
-        rows = df.filter(F.col(group).eqNullSafe(F.lit(k)))
-        parts.append(rows if v <= bound else rows.filter(h < int((1 << 40) * bound / v)).limit(int(bound * 1.2)))
-    out = parts[0] if parts else df.limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    limit = F.least(F.lit(float(1 << 40)), F.lit(float(1 << 40)) * bound / F.col("__n"))
+    # one row per group: labels or languages
+    some = df.join(F.broadcast(n.withColumnRenamed(group, "__g")), F.col(group).eqNullSafe(F.col("__g"))).filter(h < limit)
+    return some.select(*df.columns).distinct()
+
+
+def one_text(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each id of ``ids`` (few distinct ones, broadcast) the least text, null as empty. A repeated id is reduced before the shuffle."""
+    rows = df.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids.select(F.col(id_col).alias("i")).distinct()), "i", "left_semi")
+    return rows.groupBy("i").agg(F.min("t").alias("t"))
+
+
+def carried(row: str, carry: list[str], results: tuple[str, ...]) -> list[Column]:
+    """The carried fields of the struct ``row`` in order; one that has the name of a result gets ``_in`` behind it until it has a name of its own."""
+    taken = {x.lower() for x in results} | {c.lower() for c in carry if c.lower() not in {x.lower() for x in results}}
+    out = []
+    for c in carry:
+        name = c
+        if c.lower() in {x.lower() for x in results}:
+            while name.lower() in taken:
+                name += "_in"
+            taken.add(name.lower())
+        out.append(F.col(row).getField(c).alias(name))
     return out
 
 
