@@ -15,14 +15,20 @@ Clauses add up to the text's evidence; three numbers of it (the sum, the stronge
 clause, the marks per hundred words) go through a logistic curve.
 
 The lexicon of insults is learned: words, and word beginnings of 4 to 8 letters
-(``abcd*``), that far more toxic than clean texts hold. Near copies among the sample
-count once, so that a copied text does not make its own words suspect. The small
-fixed lists of the other classes serve any text. Sample: at most ``bound`` rows of
-each label. One Aho-Corasick automaton over the lexicon finds the texts with marks;
-all others get the score of a text without evidence.
-
-Defined results: a null or empty text has no evidence; with nothing to learn from
-only the fixed lists count; extra columns are ignored unless carried.
+(``abcd*``), that far more toxic than clean texts hold; a term that clean texts hold
+by chance too is one if it tells toxic texts once it occurs twice, and then counts only
+in texts that hold it twice. Near copies among the sample count once, so that a copied
+text does not make its own words suspect. The small fixed lists of the other classes
+serve English, German, French and Spanish. Sample: about ``bound`` rows of each label,
+chosen by a hash; the lexicon keeps every term of it that meets the limits. One
+Aho-Corasick automaton over the lexicon finds the texts with marks; all others get the
+score of a text without evidence.
+
+Defined results: a null or empty text has no evidence; texts are read whole; repeated
+rows get a row and the same score each, and an id that is repeated is learned from
+once, by its least text; terms that tie stay all; with nothing to learn from only the
+fixed lists count; an empty table gives an empty result; a carried column that has the
+name of a result is renamed (see ``carried``), other extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +46,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import WORD_TABLE, bounded_sample, map_text, row_and_text, texts_of
+from corpusloom.llm.common import WORD_TABLE, bounded_sample, carried, map_text, one_text, row_and_text, texts_of
+from corpusloom.session import materialize, release
 
 BOUND = 4000
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -48,10 +55,30 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PREFIXES = (4, 5, 6, 7, 8)
 
 # fixed lists of the small classes
-THREATS = ("kill", "hurt", "destroy", "shoot", "stab", "strangle", "burn", "beat", "hang", "punch")
-TARGETS = ("you", "your", "youre", "u", "he", "she", "they", "them", "him", "her", "those", "these", "people", "everyone", "du", "ihr", "sie", "tu", "vous", "ils", "elle", "vosotros", "ellos", "usted")
-NEGATIONS = ("not", "no", "never", "isn", "aren", "wasn", "don", "won", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "jamás")
-REPORTS = ("said", "says", "wrote", "writes", "told", "called", "quote", "quoted", "reported", "claims", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió")
+THREATS = (
+    "kill", "hurt", "destroy", "shoot", "stab", "strangle", "burn", "beat", "hang", "punch",
+    "töten", "töte", "umbringen", "schlagen", "verprügeln", "erschießen", "erstechen", "verbrennen", "vernichten", "erwürgen",
+    "tuer", "tuerai", "frapper", "frapperai", "brûler", "étrangler", "poignarder", "détruire", "abattre", "massacrer",
+    "matar", "mataré", "golpear", "golpearé", "quemar", "estrangular", "apuñalar", "destruir", "disparar", "ahorcar",
+)
+TARGETS = (
+    "you", "your", "youre", "u", "he", "she", "they", "them", "him", "her", "those", "these", "people", "everyone",
+    "du", "dich", "dir", "dein", "ihr", "euch", "sie", "alle",
+    "tu", "te", "toi", "vous", "ils", "elle", "elles",
+    "tú", "ti", "vosotros", "ellos", "ellas", "usted", "ustedes",
+)
+NEGATIONS = (
+    "not", "no", "never", "isn", "aren", "wasn", "don", "won", "neither", "nor",
+    "nicht", "kein", "keine", "keinen", "nie", "niemals",
+    "ne", "pas", "jamais", "aucun", "aucune",
+    "nunca", "jamás", "ningún", "ninguna", "tampoco",
+)
+REPORTS = (
+    "said", "says", "wrote", "writes", "told", "called", "quote", "quoted", "reported", "claims",
+    "sagte", "sagt", "schrieb", "schreibt", "nannte", "zitierte", "berichtete", "behauptet",
+    "dit", "disait", "écrit", "écrivait", "appelé", "cité", "rapporte", "affirme",
+    "dijo", "dice", "escribió", "escribe", "llamó", "citó", "informó", "afirma",
+)
 
 # classes: Insult, Threat, Y target, Negation, Report, Other; marks after rewriting: Quoted, Denied, Aimed, V aimed threat
 SYMBOLS = "ITYNRO"
@@ -129,15 +156,16 @@ def flat_words(text: str) -> bytes:
 
 @dataclass
 class Lexicon:
-    """Terms and their log odds; a term that ends in * is a beginning."""
+    """Terms, their log odds and how often a text must hold them; a term that ends in * is a beginning."""
 
     insults: dict[str, float]
     curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 2.0, 1.0, 0.0]))
+    twice: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
         self.words = {w: "Y" for w in TARGETS} | {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS} | {w: "T" for w in THREATS}
-        self.stems = {t[:-1]: w for t, w in self.insults.items() if t.endswith("*")}
         self.machine = grammar()
+        self.threats = frozenset(THREATS)
 
     def automaton(self) -> ahocorasick.Automaton:
         auto = ahocorasick.Automaton()
@@ -147,22 +175,22 @@ class Lexicon:
         auto.make_automaton()
         return auto
 
-    def weight(self, word: str) -> float:
-        w = self.insults.get(word, 0.0)
-        for n in PREFIXES:
-            if len(word) > n:
-                w = max(w, self.stems.get(word[:n], 0.0))
-        return w
+    def terms(self, word: str) -> list[str]:
+        return [t for t in (word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)) if t in self.insults]
 
     def evidence(self, text: str) -> np.ndarray:
         """Log of the summed clause scores, the strongest clause, marks per hundred words."""
-        total = top = marks = words = 0.0
+        clauses, held, words = [], Counter(), 0
         for clause in CLAUSE.split(text.lower()):
             tokens = WORD.findall(clause)
             words += len(tokens)
-            odds = [self.weight(w) for w in tokens]
-            if not any(odds) and not any(w in THREATS for w in tokens):
-                continue
+            own = [self.terms(w) for w in tokens]
+            if any(own) or not self.threats.isdisjoint(tokens):
+                clauses.append((tokens, own))
+                held.update(t for o in own for t in o)
+        total = top = marks = 0.0
+        for tokens, own in clauses:
+            odds = [max((self.insults[t] for t in o if t not in self.twice or held[t] > 1), default=0.0) for o in own]
             state, score = 0, 0.0
             for w, o in zip(tokens, odds, strict=True):
                 state, _, gain = self.machine.go(state, "I" if o else self.words.get(w, "O"))
@@ -179,16 +207,22 @@ class Lexicon:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.curve @ x))))))
 
 
-def terms_of(text: str) -> set[str]:
-    words = set(WORD.findall(text.lower()))
-    return words | {w[:n] + "*" for n in PREFIXES for w in words if len(w) > n}
+def terms_of(text: str) -> Counter:
+    """Words and beginnings, and how often the text holds each."""
+    out: Counter = Counter()
+    for w, n in Counter(WORD.findall(text.lower())).items():
+        out[w] += n
+        for k in PREFIXES:
+            if len(w) > k:
+                out[w[:k] + "*"] += n
+    return out
 
 
 def labelled(df: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, bound: int) -> DataFrame:
-    """At most about ``bound`` texts of either label, near copies once: (y, t)."""
-    ids = bounded_sample(labels.filter(learn & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("y")).distinct(), "y", bound)
-    # at most 2.4 x bound ids
-    rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), id_col).select("y", "t").limit(5 * bound)
+    """About ``bound`` texts of either label at most, near copies once: (y, t)."""
+    ids = bounded_sample(labels.filter(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")), "y", bound)
+    ids = materialize(ids, "labelled")  # about 2 x bound rows, which are broadcast
+    rows = one_text(df, ids.withColumnRenamed("i", id_col), id_col, text_col).join(F.broadcast(ids), "i").select("y", "t")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))
     # a text without words stands for itself
     grams = F.when(F.size("w") == 0, F.array(F.xxhash64("t"))).otherwise(grams)
@@ -204,36 +238,43 @@ def labelled(df: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_
 
 def thin(terms: dict[str, tuple[int, float]], same: float = 0.9) -> dict[str, float]:
     """Of a beginning and its continuations keep the longest that most of the texts share, else the beginning alone."""
-    known = set(terms)
-    for t in sorted(terms, key=len):
-        stem = t[:-1]
-        if t.endswith("*") and any(o != t and o.startswith(stem) and terms[o][0] >= same * terms[t][0] for o in terms):
-            known.discard(t)
-    short = {t for t in known if t.endswith("*")}
-    return {t: terms[t][1] for t in known if not any(t[:n] + "*" in short and t[:n] + "*" != t for n in PREFIXES if len(t.rstrip("*")) >= n)}
+    under: dict[str, list[str]] = {}
+    for t in terms:
+        for n in PREFIXES:
+            if len(t.rstrip("*")) >= n and t[:n] + "*" != t:
+                under.setdefault(t[:n] + "*", []).append(t)
+    known = {t for t in terms if not any(terms[o][0] >= same * terms[t][0] for o in under.get(t, ()))}
+    return {t: terms[t][1] for t in known if not any(t[:n] + "*" in known and t[:n] + "*" != t for n in PREFIXES if len(t.rstrip("*")) >= n)}
 
 
 def learn_lexicon(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = BOUND, least_share: float = 0.01, least_docs: int = 5, least_odds: float = 3.0) -> Lexicon:
-    sample = labelled(df, labels, learn, id_col, text_col, label_col, bound).persist()
+    sample = materialize(labelled(df, labels, learn, id_col, text_col, label_col, bound), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: Counter = Counter()
             for y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n.update((y, x) for x in terms_of(t))
-                n[y, ""] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.int32()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["y", "x", "n"])
+                for x, times in terms_of(t).items():
+                    n[y, x, 1] += 1
+                    if times > 1:
+                        n[y, x, 2] += 1
+                n[y, "", 1] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.int32()), pa.array([k[1] for k in n], pa.string()), pa.array([k[2] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], names=["y", "x", "k", "n"])
 
     # the curve is fitted to texts that the lexicon hasn't seen
     unseen = F.pmod(F.xxhash64("t"), F.lit(3)) == 0
-    n = sample.filter(~unseen).mapInArrow(count, "y int, x string, n bigint").groupBy("x").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
+    n = sample.filter(~unseen).mapInArrow(count, "y int, x string, k int, n bigint").groupBy("x", "k").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
+    n = materialize(n, "terms")
     top = n.filter(F.col("x") == "").first()
     pos, neg = (top.a, top.b) if top else (0, 0)
     odds = F.log((F.col("a") + 0.5) / (pos + 1.0)) - F.log((F.col("b") + 2.0) / (neg + 2.0))
     found = n.filter((F.col("x") != "") & (F.col("a") >= max(least_docs, least_share * pos))).withColumn("o", odds).filter(F.col("o") >= least_odds)
-    # the most frequent ones: each has a hundredth of the positives at least, so there are few
-    rows = {r.x: (r.a, float(r.o)) for r in found.orderBy(F.desc("a"), "x").limit(4000).collect()}
-    lex = Lexicon(thin(rows))
+    rows = sorted(found.collect(), key=lambda r: (r.x, r.k))
+    # once is enough where it tells as much
+    once = {r.x: (r.a, float(r.o)) for r in rows if r.k == 1}
+    again = {r.x: (r.a, float(r.o)) for r in rows if r.k == 2 and r.x not in once}
+    kept = thin(once | again)
+    lex = Lexicon(kept, twice=frozenset(kept.keys() & again.keys()))
     shared = df.sparkSession.sparkContext.broadcast(lex)
 
     def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -241,9 +282,9 @@ def learn_lexicon(df: DataFrame, labels: DataFrame, learn: Column, id_col: str =
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), *(pa.array(x[:, k]) for k in range(1, 4))], names=["y", "a", "b", "c"])
 
     got = map_text(sample.filter(unseen), weigh, "y int, a double, b double, c double").toPandas()
-    sample.unpersist()
     if got["y"].nunique() == 2:
         lex.curve = fit_curve(got[["a", "b", "c"]].to_numpy(), got["y"].to_numpy().astype(float))
+    release(sample, n)
     return lex
 
 
@@ -265,7 +306,7 @@ def score_toxicity(df: DataFrame, lex: Lexicon, text_col: str = "text", carry: l
     carry = ["doc_id"] if carry is None else carry
     src = row_and_text(df, carry, text_col)
     schema = T.StructType([src.schema["__row"], T.StructField("score", T.DoubleType())])
-    known = df.sparkSession.sparkContext.broadcast(lex)  # at most 2000 terms
+    known = df.sparkSession.sparkContext.broadcast(lex)  # terms of a sample of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = known.value.automaton()
@@ -274,4 +315,4 @@ def score_toxicity(df: DataFrame, lex: Lexicon, text_col: str = "text", carry: l
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["__row", "score"])
 
     out = src.mapInArrow(run, schema)
-    return out.select(*[F.col("__row").getField(c).alias(c) for c in carry], "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return out.select(*carried("__row", carry, ("score", "predicted")), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

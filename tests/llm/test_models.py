@@ -17,6 +17,7 @@ from corpusloom.llm.common import learn_rows
 from tests.llm.fixtures import documents, frame
 
 SMALL = "/root/testdata/sf0.01"
+LARGE = "/root/testdata/sf0.1"
 
 
 def auc(y, x):
@@ -42,13 +43,36 @@ def test_quality_held_out(spark):
 
 def test_language_held_out(spark):
     h = held_out(spark, "op6_language_id", 5, 0)
-    assert (h.lang == h.lang_pred).mean() > 0.97 and h.score_x.between(0, 1).all() if "score_x" in h else (h.lang == h.lang_pred).mean() > 0.97
+    assert (h.lang == h.lang_pred).mean() > 0.97 and h.score.between(0, 1).all()
 
 
 def test_toxicity_held_out(spark):
-    h = held_out(spark, "op9_toxicity", 4, 2).dropna(subset=["toxic"])
-    assert auc(h.toxic.to_numpy(), h.score.to_numpy()) > 0.75
-    assert ((h.score >= 0.3) == (h.predicted == 1)).all()
+    """By language, on the larger table, which has enough toxic texts of each to learn from."""
+    got = queries.queries()["op9_toxicity"](spark, LARGE).toPandas()
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet").select("doc_id", "lang").toPandas()
+    labels = spark.read.parquet(f"{LARGE}/labels.parquet").toPandas()
+    assert sorted(got.doc_id) == sorted(docs.doc_id) and ((got.score >= 0.3) == (got.predicted == 1)).all()
+    assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(got.doc_id, got.held_out, strict=True))
+    h = got[got.held_out].merge(docs, on="doc_id").merge(labels, on="doc_id")
+    for lang, g in h.groupby("lang"):
+        assert g[g.toxic == 1].predicted.mean() >= 0.9, lang
+        assert g[g.toxic == 0].predicted.mean() <= 0.02, lang
+        assert auc(g.toxic.to_numpy(), g.score.to_numpy()) > 0.95, lang
+
+
+def test_terms_that_count_twice():
+    lex = toxicity.Lexicon({"réeux*": 4.0, "idiot": 3.0}, twice=frozenset(["réeux*"]))
+    assert lex.evidence("réeuxment là")[2] == 0 < lex.evidence("réeuxment. là réeuxaux")[2]
+    assert toxicity.terms_of("Abcde abcdef x") == {"abcde": 1, "abcdef": 1, "x": 1, "abcd*": 2, "abcde*": 1}
+    assert toxicity.thin({"abcd*": (10, 4.0), "abcde*": (10, 4.0), "abcdef": (3, 4.0), "xyz": (5, 3.5)}) == {"abcde*": 4.0, "xyz": 3.5}
+    assert toxicity.thin({"abcd*": (20, 4.0), "abcde*": (10, 4.0), "abcdf": (9, 4.0)}) == {"abcd*": 4.0}
+
+
+@pytest.mark.parametrize("plain,denied,quoted", [("I will kill you", "I will not kill you", "he said I will kill you"), ("ich werde dich töten", "ich werde dich nicht töten", "er sagte ich werde dich töten"), ("je vais vous frapper", "je ne vais vous frapper", "il dit vous frapper"), ("voy a matar a usted", "nunca matar a usted", "dijo matar a usted")])
+def test_threats_of_four_languages(plain, denied, quoted):
+    lex = toxicity.Lexicon({})
+    top = lambda t: lex.evidence(t)[2]
+    assert top(plain) > top(denied) > 0 and top(plain) > top(quoted) > 0
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +112,7 @@ def test_grammar_tells_targets_negation_and_reports():
     top = lambda t: lex.evidence(t)[2]
     assert top("you are an idiot") > top("an idiot") > top("he said an idiot") > 0
     assert top("you are not an idiot") < top("you are an idiot")
-    assert top("I will kill you") > top("they kill time") * 0 and top("nice day") == 0
+    assert top("I will kill you") > top("to kill time") > top("nice day") == 0
     assert top("achlichkeit") > 0 and top("achkeit") == 0
     auto = lex.automaton()
     assert lex.score("You are an IDIOT.", auto) > lex.score("a fine day", auto) == lex.score(None, auto) == lex.score("", auto)
