@@ -11,12 +11,15 @@ down to the prior. A linear model then minimises
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-with the logistic loss. Both samples are bounded by ``bound`` rows; everything is
-scored.
-
-Defined results: a null or empty text scores like a text without characters; a null
-doc_id is a row like any other; with no positives to learn from every score is 0.5;
-extra columns are ignored unless carried.
+with the logistic loss. Both samples have about ``bound`` ids at most, chosen by a
+hash; everything is scored.
+
+Defined results: a null or empty text scores like a text without characters; texts are
+scored whole; a null doc_id is a row like any other, but isn't learned from; an id that
+is repeated is learned from once, by its least text; repeated rows get a row and the
+same score each, so ties stay ties; with no positives to learn from every score is 0.5;
+an empty table gives an empty result; a carried column that has the name of a result is
+renamed (see ``carried``), other extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import WORD_ARRAY, SpanHash, bounded_sample, map_text, slices, text_bytes
+from corpusloom.llm.common import WORD_ARRAY, SpanHash, bounded_sample, carried, map_text, one_text, slices, text_bytes
+from corpusloom.session import materialize
 
 #: Most rows of either sample.
 BOUND = 3000
@@ -147,43 +151,39 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, steps: int = 300, rate: float = 0.0
     return PuModel(_adam(grad, np.zeros(xp.shape[1], np.float32), steps, rate), prior)
 
 
-def feature_rows(df: DataFrame, text_col: str, keep: str) -> tuple[np.ndarray, list]:
-    """Features of a bounded sample, gathered on the driver, with the values of one column."""
+def feature_rows(df: DataFrame) -> np.ndarray:
+    """Features of a bounded sample (column t), gathered on the driver; rows in order of their bytes."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         hasher = SpanHash()
         data, off = text_bytes(batch.column(0))
         x = [features(data[off[i] : off[j]], off[i : j + 1] - off[i], hasher).astype(np.float16) for i, j in slices(np.diff(off), 1 << 20)]
-        return pa.RecordBatch.from_arrays([pa.array([r.tobytes() for m in x for r in m], pa.binary()), batch.column(1)], names=["x", "k"])
+        return pa.RecordBatch.from_arrays([pa.array([r.tobytes() for m in x for r in m], pa.binary())], names=["x"])
 
-    rows = map_text(df.select(F.col(text_col).alias("t"), F.col(keep).cast("int").alias("k")), fn, "x binary, k int").collect()
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, WIDTH), np.float32)
-    return x, [r.k for r in rows]
+    rows = sorted(bytes(r.x) for r in map_text(df.select("t"), fn, "x binary").collect())
+    return np.stack([np.frombuffer(x, np.float16) for x in rows]).astype(np.float32) if rows else np.zeros((0, WIDTH), np.float32)
 
 
 def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = BOUND) -> PuModel:
     """``learn``: which rows (by id) may be learned from."""
     good = bounded_sample(labels.filter(learn & (F.col(label_col) == 1)).select(id_col, label_col), label_col, bound)
-    # at most 1.2 x bound ids
-    xp, _ = feature_rows(df.join(F.broadcast(good.select(id_col).distinct()), id_col, "left_semi").select(text_col, F.lit(1).alias("k")).limit(2 * bound), text_col, "k")
-    web = df.filter(learn).select(id_col, F.lit(0).alias("k"))
-    ids = bounded_sample(web, "k", bound)
-    xu, _ = feature_rows(df.join(F.broadcast(ids.select(id_col).distinct()), id_col, "left_semi").select(text_col, F.lit(0).alias("k")).limit(2 * bound), text_col, "k")
+    web = bounded_sample(df.filter(learn).select(id_col, F.lit(0).alias("k")), "k", bound)
+    xp, xu = (feature_rows(one_text(df, materialize(ids, "ids"), id_col, text_col)) for ids in (good, web))
     return fit_nnpu(xp, xu)
 
 
 def score_quality(df: DataFrame, model: PuModel, text_col: str = "text", carry: list[str] | None = None, cut: float = 0.5) -> DataFrame:
     """``carry`` (default: doc_id) with score and predicted."""
     carry = ["doc_id"] if carry is None else carry
-    src = df.select(*carry, F.col(text_col).alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    src = df.select(F.struct(*[F.col(c) for c in carry]).alias("__row"), F.col(text_col).alias("__text"))
+    schema = T.StructType([src.schema["__row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     known = df.sparkSession.sparkContext.broadcast(model)  # WIDTH weights
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         hasher = SpanHash()
-        data, off = text_bytes(batch.column(batch.num_columns - 1))
+        data, off = text_bytes(batch.column(1))
         s = [known.value.score(features(data[off[i] : off[j]], off[i : j + 1] - off[i], hasher)) for i, j in slices(np.diff(off), 1 << 20)]
         s = np.concatenate(s).astype(np.float64) if s else np.zeros(0)
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=[f.name for f in schema.fields])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["__row", "score", "predicted"])
 
-    return map_text(src, fn, schema)
+    return map_text(src, fn, schema).select(*carried("__row", carry, ("score", "predicted")), "score", "predicted")
