@@ -7,13 +7,18 @@ contains the n-gram. Each language's popcount over a text is corrected for its
 filter's false positive rate f, (count - f n) / (1 - f), and related to what the
 language's own texts reach. The largest decides; the score is its share.
 
-Learning: from at most ``bound`` documents of each language, chosen by a hash, whole
-texts. A language contains an n-gram if it has it ``least`` times and at a rate of at
-least ``share`` times that of the language that uses it most.
+Learning: from about ``bound`` documents of each language at most, chosen by a hash of
+the text, whole texts. A language contains an n-gram if it uses it at a rate of at least
+``share`` times that of the language that uses it most; nothing else is left out. The
+slots grow with the n-grams between 2^LEAST_BITS and 2^MOST_BITS; a fuller filter has a
+higher false positive rate, which the counts are corrected for.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is
-every text if nothing could be learned; of tied languages the one with more documents
-in the sample wins, then the lesser name.
+every text if nothing could be learned; texts are read whole; of tied languages the one
+with more documents in the sample wins, then the lesser name; equal texts are learned
+from once; repeated rows get a row and the same result each; an empty table gives an
+empty result; a carried column that has the name of a result is renamed (see
+``carried``), other extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import bounded_sample, map_text, slices
+from corpusloom.llm.common import bounded_sample, carried, map_text, slices
+from corpusloom.session import materialize, release
 
 BOUND = 1500
 UNKNOWN = "und"
+LEAST_BITS, MOST_BITS = 18, 24
 #: Byte classes of the lower-cased text: ASCII letters and non-ASCII bytes stay, the rest is blank.
 LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 32 for b in range(256))
 
@@ -83,9 +90,9 @@ class MaskFilter:
         return best, np.clip(rel[np.arange(len(best)), best] / np.where(total > 0, total, 1), 0, 1)
 
 
-def train(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", bound: int = BOUND, least: int = 3, share: float = 0.2, bits: int = 18, most_grams: int = 60_000) -> MaskFilter:
+def train(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", bound: int = BOUND, share: float = 0.2) -> MaskFilter:
     known = df.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-    sample = bounded_sample(known, "l", bound)
+    sample = materialize(bounded_sample(known, "l", bound), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,15 +105,16 @@ def train(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array([str(one)] * len(code)), pa.array(code), pa.array(n.astype(np.int64))], names=["l", "g", "n"])
 
     got = sample.mapInArrow(count, "l string, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    rows = got.filter((F.col("n") >= least) | (F.col("g") == 0)).toPandas()
+    rows = got.toPandas()
+    release(sample)
     if not len(rows):
-        return MaskFilter([], bits, np.zeros((1, 1 << bits), np.uint64), np.zeros(0), np.ones(0))
+        return MaskFilter([], LEAST_BITS, np.zeros((1, 1 << LEAST_BITS), np.uint64), np.zeros(0), np.ones(0))
     docs = rows[rows["g"] == 0].set_index("l")["n"].to_dict()
     langs = sorted(docs, key=lambda k: (-docs[k], k))
     rows = rows[rows["g"] != 0].sort_values(["l", "n", "g"], ascending=[True, False, True])
     rows["rate"] = rows["n"] / rows.groupby("l")["n"].transform("sum")
-    rows = rows.groupby("l").head(most_grams)
     rows = rows[rows["rate"] >= share * rows.groupby("g")["rate"].transform("max")]
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * int(rows.groupby("l").size().max() if len(rows) else 0)).bit_length()))
     words = -(-len(langs) // 64)
     dtype = np.uint8 if len(langs) <= 8 else np.uint64
     masks = np.zeros((words, 1 << bits), dtype)
@@ -122,20 +130,21 @@ def train(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
 def identify(df: DataFrame, model: MaskFilter, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``carry`` (default: doc_id) with lang_pred and score."""
     carry = ["doc_id"] if carry is None else carry
-    src = df.select(*carry, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letter"), F.col(text_col).alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    src = df.select(F.struct(*[F.col(c) for c in carry]).alias("__row"), letter.alias("__letter"), F.col(text_col).alias("__text"))
+    schema = T.StructType([src.schema["__row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     known = df.sparkSession.sparkContext.broadcast(model)  # one word of 2^bits slots for each 64 languages
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, n = known.value, batch.num_rows
-        letter = np.array(batch.column(batch.num_columns - 2).to_pylist(), bool)
+        some = np.array(batch.column(1).to_pylist(), bool)
         lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
         if m.langs:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for i, j in slices(np.array([len(t or "") for t in texts])):
                 best, s = m.decide(texts[i:j])
                 lang[i:j], score[i:j] = np.array(m.langs, object)[best], s
-        lang[~letter], score[~letter] = UNKNOWN, 0.0
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 2)), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[f.name for f in schema.fields])
+        lang[~some], score[~some] = UNKNOWN, 0.0
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=["__row", "lang_pred", "score"])
 
-    return map_text(src, fn, schema)
+    return map_text(src, fn, schema).select(*carried("__row", carry, ("lang_pred", "score")), "lang_pred", "score")
