@@ -100,14 +100,15 @@ def brute_hits(text, items, width=10):
     return len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(who)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("shard", [8 << 20, 300])
+@pytest.mark.parametrize("shard", [8 << 20, 900])
 def test_decontamination(spark, shard):
     rows = documents()
     items = [(1, rows[45][1][40:260]), (2, rows[5][1]), (10, "É ü"), (11, "AN The OR"), (None, rows[7][1]), (12, None), (13, "..."), (2, rows[6][1])]
-    df = frame(spark, rows).withColumn("items", F.lit("clash"))
-    got = decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), shard_bytes=shard, carry=["doc_id", "text", "items"], spans=True).collect()
+    df = frame(spark, rows).withColumns({"items": F.lit("clash"), "contaminated": F.lit("clash"), "n": F.lit(1), "key": F.lit("k")})
+    got = decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), shard_bytes=shard, carry=["doc_id", "text", "items", "contaminated", "key"], spans=True).collect()
     assert len(got) == len(rows)
     for r in got:
+        assert (r.items, r.contaminated_in, r.key) == ("clash", "clash", "k")
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_hits(r.text, items)
         inside = [r.text[s.a : s.b] for s in r.spans]
         assert sum(len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", s)) for s in inside) == r.n_hit
