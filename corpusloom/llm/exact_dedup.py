@@ -13,9 +13,10 @@
    hot text the first rows of its salted runs meet the winner of step 1.
 
 Defined results: a null text counts as empty; a null doc_id loses to any other; of
-rows that are alike in text and doc_id exactly one stays; an empty table gives an
-empty result; other columns pass through and may bear any name not starting with
-``__ed_``.
+rows that are alike in text and doc_id exactly one stays; texts are compared whole,
+however long; an empty table gives an empty result; carried columns may bear any name
+not starting with ``__ed_``, one that has the name of a result is renamed (see
+``carried``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import carried
+
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -69,7 +72,7 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     is_hot = F.col("__ed_hot_n").isNotNull()
     wins = (F.col("__ed_rn") == 1) & (~is_hot | (F.col("__ed_id").eqNullSafe(F.col("__ed_best.id")) & (F.col("__ed_points") == -F.col("__ed_best.p"))))
     return out.select(
-        *[F.col("__ed_row").getField(c).alias(c) for c in carry],
+        *carried("__ed_row", carry, ("keep_id", "group_size", "kept", "text_sha256")),
         F.when(is_hot, F.col("__ed_best.id")).otherwise(F.col("__ed_first")).alias("keep_id"),
         F.when(is_hot, F.col("__ed_hot_n")).otherwise(F.col("__ed_n")).alias("group_size"),
         wins.alias("kept"),

@@ -14,6 +14,7 @@ from corpusloom.llm import ngram_join, suffix_dedup
 from corpusloom.llm.common import WORD_TABLE
 from corpusloom.llm.components import components
 from tests.llm.fixtures import documents, frame
+from tests.llm.test_exact import brute_dedup, brute_hits
 
 
 def shingles(t):
@@ -161,3 +162,69 @@ def test_pipeline_stages(spark, sf_dir):
     packed = p.packing(spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == len(texts)
     assert docs.limit(0).count() == 0 and p.exact_dedup(spark, docs.limit(0), sf_dir).count() == 0
+
+
+CLASHING = ("predicted", "score", "kept", "keep_id", "contaminated", "n_hit", "comp", "length", "removed")
+
+
+@pytest.fixture(scope="module")
+def own_tables(spark, tmp_path_factory):
+    """Labels and a benchmark for the awkward documents."""
+    folder = str(tmp_path_factory.mktemp("own"))
+    rows = documents()
+    spark.createDataFrame([(k, k % 2, int(k in (3, 9))) for k in range(1, 40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    items = [(1, rows[5][1]), (2, " ".join((rows[45][1]).split()[22:40])), (None, rows[7][1]), (4, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return folder, items
+
+
+def test_pipeline_stages_by_brute_force(spark, own_tables):
+    """Null ids and texts, blanks, a long text, repeated rows and clashing names, stage by stage."""
+    import corpus_pipeline as p
+
+    folder, items = own_tables
+    docs = frame(spark).withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+    plain = lambda d: Counter((r.doc_id, r.text) for r in d.collect())
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        after = Counter((r.doc_id, r.text) for r in rows)
+        assert not after - Counter(before)
+        if name == "exact_dedup":
+            _, winners = brute_dedup(before)
+            assert sorted(str(i) for i, _ in after) == sorted(str(None if w[1] else w[2]) for w in winners.values())
+        if name == "ngram_jaccard_join":
+            assert brute_join(list(after))[1] == len(after) == brute_join(before)[1]
+        if name == "decontamination":
+            assert after == Counter(x for x in before if not brute_hits(x[1], items)[4])
+            assert sum(after.values()) < len(before)
+        docs = spark.createDataFrame(rows, docs.schema)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(p.tokenizer_path())
+    packed = p.packing(spark, docs, folder).collect()
+    want = Counter({i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in plain(docs)})
+    have: Counter = Counter()
+    for r in packed:
+        have[r.doc_id] += r.length
+    assert have == want
+    for s in {r.sequence_id for r in packed}:
+        at = 0
+        for r in sorted((r for r in packed if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+
+
+def test_pipeline_on_empty_tables_and_whole(spark, own_tables):
+    import corpus_pipeline as p
+
+    folder, _ = own_tables
+    none = frame(spark, []).withColumns({c: F.lit("x") for c in CLASHING})
+    for _, stage in p.STAGES:
+        assert stage(spark, none, folder).count() == 0
+    assert p.run(spark, folder).count() > 10
