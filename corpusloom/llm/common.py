@@ -119,6 +119,19 @@ def one_text(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataF
     return rows.groupBy("i").agg(F.min("t").alias("t"))
 
 
+def join_skewed(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join with ``keyed``, which has one row per key and in ``count`` the rows of it; ``total`` is their sum.
+
+    Keys of more than total / (4 x partitions) rows are broadcast, and there are fewer
+    than 4 x partitions of them; the others are shuffled.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(64, total // (4 * parts))
+    hot = F.broadcast(keyed.filter(F.col(count) > limit))
+    cold = keyed.filter(F.col(count) <= limit)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def carried(row: str, carry: list[str], results: tuple[str, ...]) -> list[Column]:
     """The carried fields of the struct ``row`` in order; one that has the name of a result gets ``_in`` behind it until it has a name of its own."""
     taken = {x.lower() for x in results} | {c.lower() for c in carry if c.lower() not in {x.lower() for x in results}}

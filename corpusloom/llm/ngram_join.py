@@ -4,46 +4,56 @@
    fewer than five words make one shingle; no words, no shingles). Texts with equal
    sets form a class, found by a 128-bit hash of the set; one row stands for it.
 2. Band and row counts are chosen for the target recall at the threshold. The rows
-   of the classes are shuffled on (band, band hash), and each member of a bucket is
-   linked to the bucket's least member only, so a bucket costs its size, not its
-   square.
-3. Connected components of these links are groups of candidates. Within a group all
-   classes are compared on their full shingle sets. A group of more than ``block``
+   of the classes are shuffled on the band hash; a bucket is the classes of one band
+   hash, and its candidates are the pairs within it. Of buckets with the same members
+   (fingerprints of their keys) one is left, that of the least band.
+3. Every pair of a bucket is compared on the full shingle sets, in the bucket of the
+   first band that the two share and in no other. A bucket of more than ``block``
    classes is cut into blocks, and each pair of blocks is a task of its own, so no
    task holds more than two blocks. A task counts intersections by inverted lists
    and matrix products and gives one row per class: its links there and the least
-   class it is linked to, never a row per pair.
-4. The verified links give the group of near copies: components again, over a
-   spanning forest of each task's links.
+   class that it reaches over them, never a row per pair.
+4. Connected components of verified links, over a spanning forest of each task's
+   links, are the groups of near copies. Candidates that fail never join groups, so
+   chance collisions don't chain up.
+
+Joins on a class, a bucket or a group of many rows are split: keys of more than
+rows / (4 x partitions) rows, of which there are fewer than 4 x partitions, are
+broadcast with what is joined to them, the others shuffled.
 
 Result: one row per document. ``n_links`` counts all other documents at or above the
-threshold, copies included. Links between classes whose MinHash bands and those of
-every chain of bucket neighbours between them differ are missed; with the default
-target at most one in 2000 at the threshold itself, fewer above.
+threshold, copies included; the threshold is compared in whole numbers. Links whose
+MinHash bands all differ are missed: with the default target at most one in 10,000 at
+the threshold itself, fewer above (at 0.85 less than one in 200,000).
 
 Defined results: a null text has no words; a text without words has no links and is
-a class of its own; repeated rows are copies of each other; extra columns pass by.
+a class of its own; texts are read whole, however long; repeated rows are copies of each
+other; a null id loses against any other as the least of a group; of rows that tie the
+group's id is the same; an empty table gives an empty result; extra columns of any name
+pass by.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD_ARRAY, SpanHash, batch_sizes, seeded, slices, splitmix, text_bytes
+from corpusloom.llm.common import WORD_ARRAY, SpanHash, batch_sizes, join_skewed, seeded, slices, splitmix, text_bytes
 from corpusloom.llm.components import components
 from corpusloom.session import materialize
 
 WORDS = 5
 THRESHOLD = 0.8
-RECALL = 0.9995
+RECALL = 0.9999
 MOST_HASHES = 120
-BLOCK = 2048
+#: Classes of the least block; blocks grow to eight times this where a bucket is large.
+BLOCK = 512
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -167,27 +177,6 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray], dense: int = 48) ->
     return out
 
 
-def verify_small(ids: np.ndarray, weight: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For one group within a task: links of each class (documents), and the least class of its verified component."""
-    n = len(ids)
-    size = np.array([len(s) for s in sets], np.float32)
-    if n == 2:
-        inter = np.zeros((2, 2), np.float32)
-        inter[0, 1] = inter[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-    else:
-        inter = intersections(sets, sets)
-    link = inter >= threshold * (size[:, None] + size[None, :] - inter) - 1e-3
-    np.fill_diagonal(link, False)
-    links = link @ weight
-    least = ids.copy()
-    while True:
-        near = np.where(link, least[None, :], np.iinfo(np.int64).max).min(1)
-        new = np.minimum(least, near)
-        if (new == least).all():
-            return links, least
-        least = new
-
-
 def least_labels(ids_a: np.ndarray, ids_b: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least class that each class of two blocks reaches over the links between them."""
     top = np.iinfo(np.int64).max
@@ -200,73 +189,67 @@ def least_labels(ids_a: np.ndarray, ids_b: np.ndarray, link: np.ndarray) -> tupl
         a, b = a2, b2
 
 
-OUT = "node bigint, links bigint, peer bigint"
-
-
-def verify_groups(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: group, node, weight, grams; whole groups lie next to each other in a partition."""
+def similar(inter: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """inter / union >= threshold, in whole numbers: the threshold is the nearest fraction p / q."""
+    f = Fraction(threshold).limit_denominator(10_000)
+    return inter.astype(np.int64) * (f.numerator + f.denominator) >= f.numerator * (size_a[:, None] + size_b[None, :])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray]] = []
-        now = None
 
-        def close() -> pa.RecordBatch:
-            ids = np.array([x[0] for x in held], np.int64)
-            links, least = verify_small(ids, np.array([x[1] for x in held], np.float64), [x[2] for x in held], threshold)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(least)], names=["node", "links", "peer"])
+def met_before(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs share a band before this one."""
+    out = np.zeros((len(a), len(b)), bool)
+    for k in range(band):
+        out |= a[:, k, None] == b[None, :, k]
+    return out
 
-        for batch in batches:
-            group, node, weight, grams = (batch.column(k) for k in range(4))
-            group, node, weight = group.to_pylist(), node.to_pylist(), weight.to_pylist()
-            for k in range(batch.num_rows):
-                if group[k] != now and held:
-                    yield close()
-                    held = []
-                now = group[k]
-                held.append((node[k], weight[k], np.frombuffer(grams[k].as_py(), np.uint64)))
-        if held:
-            yield close()
 
-    return rows.mapInArrow(run, OUT)
+#: node, weight, band hashes, shingles
+Member = tuple[int, int, np.ndarray, np.ndarray]
 
 
-def verify_blocks(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: task (group, block pair), side, node, weight, grams; sorted by task."""
+def verify(a: list[Member], b: list[Member], band: int, threshold: float) -> pa.RecordBatch:
+    """All pairs of two blocks of a bucket, or of one (b empty): links of each class (documents), and the least class that it reaches."""
+    same = not b
+    b = a if same else b
+    ids, weight, bands, size = ([np.array([f(x) for x in s], np.int64) for s in (a, b)] for f in (lambda x: x[0], lambda x: x[1], lambda x: x[2], lambda x: len(x[3])))
+    if same and len(a) == 2:
+        inter = np.zeros((2, 2), np.float32)
+        inter[0, 1] = inter[1, 0] = len(np.intersect1d(a[0][3], a[1][3], assume_unique=True))
+    else:
+        inter = intersections([x[3] for x in a], [x[3] for x in b])
+    link = similar(inter, size[0], size[1], threshold)
+    if same:
+        np.fill_diagonal(link, False)
+    if link.any():
+        link &= ~met_before(bands[0], bands[1], band)
+    least = least_labels(ids[0], ids[1], link)
+    node, links, peer = [ids[0]], [link @ weight[1]], [least[0]]
+    if not same:
+        node.append(ids[1])
+        links.append(link.T @ weight[0])
+        peer.append(least[1])
+    node, links, peer = (np.concatenate(x) for x in (node, links, peer))
+    some = links > 0
+    return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (node, links, peer)], names=["node", "links", "peer"])
+
+
+def verify_tasks(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows: h, i, j (bucket and its blocks), side, band, node, weight, bands, grams; a task's rows lie next to each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, np.ndarray]] = []
+        held: tuple[list[Member], list[Member]] = ([], [])
         now = None
-
-        def close() -> pa.RecordBatch:
-            sides = [[x for x in held if x[0] == s] for s in (0, 1)]
-            same = not sides[1]
-            a, b = sides[0], sides[0] if same else sides[1]
-            ids = [np.array([x[1] for x in s], np.int64) for s in (a, b)]
-            size = [np.array([len(x[3]) for x in s], np.float32) for s in (a, b)]
-            inter = intersections([x[3] for x in a], [x[3] for x in b])
-            link = inter >= threshold * (size[0][:, None] + size[1][None, :] - inter) - 1e-3
-            if same:
-                np.fill_diagonal(link, False)
-            least = least_labels(ids[0], ids[1], link)
-            node, links, peer = [ids[0]], [link @ np.array([x[2] for x in b], np.float64)], [least[0]]
-            if not same:
-                node.append(ids[1])
-                links.append(link.T @ np.array([x[2] for x in a], np.float64))
-                peer.append(least[1])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(links).astype(np.int64)), pa.array(np.concatenate(peer))], names=["node", "links", "peer"])
-
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(5)]
-            for task, side, node, weight, grams in zip(*cols, strict=True):
-                if task != now and held:
-                    yield close()
-                    held = []
-                now = task
-                held.append((side, node, weight, np.frombuffer(grams, np.uint64)))
-        if held:
-            yield close()
+            for h, i, j, side, band, node, weight, bands, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (h, i, j, band) != now and held[0]:
+                    yield verify(*held, now[3], threshold)
+                if (h, i, j, band) != now:
+                    held, now = ([], []), (h, i, j, band)
+                held[side].append((node, weight, np.array(bands, np.int64), np.frombuffer(grams, np.uint64)))
+        if held[0]:
+            yield verify(*held, now[3], threshold)
 
-    return rows.mapInArrow(run, OUT)
+    return rows.mapInArrow(run, "node bigint, links bigint, peer bigint")
 
 
 #: Bits of the filter that tells which rows may have candidates; false positives only cost time.
@@ -303,39 +286,53 @@ def shingles(src: DataFrame, words: int, keep: np.ndarray) -> DataFrame:
     return src.select("idh", "t").mapInArrow(run, "idh bigint, h1 bigint, h2 bigint, n int, grams binary")
 
 
+def blocks_of(size: Column, block: int) -> Column:
+    return F.ceil(size / F.least(F.greatest(size / 16, F.lit(block)), F.lit(8 * block))).cast("int")
+
+
 def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per row of df: id, idh (hash of id and text), key, node (the least key of the equal sets), n_links, comp (the least node of the group of near copies)."""
+    """One row per row of df: id, idh (hash of id and text), key, node (the least key of the equal sets), s (the best row of these), n_links, comp (the least node of the group of near copies), c (the best row of the group)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bands, rows = choose_bands(threshold, recall)
+    n_bands, n_rows = choose_bands(threshold, recall)
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("idh"), F.col(text_col).alias("t"))
-    sk = materialize(sketches(src, bands, rows, words).withColumn("key", F.monotonically_increasing_id()), "sketch")
+    sk = materialize(sketches(src, n_bands, n_rows, words).withColumn("key", F.monotonically_increasing_id()), "sketch")
     some = sk.filter("n > 0")
-    cls = some.groupBy("h1", "h2", "n").agg(F.min("key").alias("node"), F.count("*").alias("weight"))
-    members = materialize(some.select("key", "idh", "h1", "h2", "n").join(cls, ["h1", "h2", "n"]), "members")
-    reps = members.filter("key = node")
-
-    bucket = some.select("key", "bands").join(reps.select("key"), "key").select("key", F.explode("bands").alias("h"))
-    heads = bucket.groupBy("h").agg(F.min("key").alias("m"), F.count("*").alias("c")).filter("c > 1")
-    star = bucket.join(heads, "h").filter("key <> m").select(F.col("key").alias("u"), F.col("m").alias("v"))
-    groups = components(star)
-    groups = groups.join(groups.groupBy("comp").agg(F.count("*").alias("size")), "comp")
-    todo = materialize(reps.join(groups, "node"), "todo")
-
-    sets = shingles(src, words, row_filter(todo)).join(todo, ["idh", "h1", "h2", "n"]).dropDuplicates(["idh", "h1", "h2", "n"])
-    sets = materialize(sets.select("node", "weight", "comp", "size", "grams"), "sets")
-    small = sets.filter(F.col("size") <= block).select("comp", "node", "weight", "grams")
-    small = verify_groups(small.repartition(parts, "comp").sortWithinPartitions("comp"), threshold)
-    n_blocks = F.ceil(F.col("size") / block)
-    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    large = sets.filter(F.col("size") > block).withColumn("own", F.pmod(F.xxhash64("node"), n_blocks)).withColumn("p", F.explode(pairs))
-    large = large.select(F.concat_ws("/", "comp", "p.i", "p.j").alias("task"), F.when(F.col("p.i") == F.col("own"), 0).otherwise(1).alias("side"), "node", "weight", "grams")
-    large = verify_blocks(large.repartition(parts, "task").sortWithinPartitions("task"), threshold)
-    found = materialize(small.unionByName(large), "found")
+    cls = materialize(some.groupBy("h1", "h2", "n").agg(F.min("key").alias("node"), F.count("*").alias("weight"), best_of().alias("s")), "classes")
+
+    # buckets with other members than any bucket of a lesser band
+    reps = some.select(F.col("key").alias("node"), "idh", "bands").join(cls.select("node", "h1", "h2", "n", "weight"), "node")
+    bucket = reps.select("node", F.posexplode("bands").alias("band", "h"))
+    sizes = bucket.groupBy("h", "band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("f1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("f2")).filter("size > 1")
+    kept = sizes.groupBy("f1", "f2", "size").agg(F.min(F.struct("band", "h")).alias("w")).select("w.h", "w.band", "size")
+    kept = materialize(kept, "buckets")
+    todo = join_skewed(bucket, kept, ["h", "band"], "size", cls.count() * n_bands)
+    todo = materialize(todo.select("node", "h", "band", "size"), "todo")
+
+    # one shingle set for each class that is in a bucket
+    wanted = reps.join(todo.select("node").distinct(), "node", "left_semi").select("node", "idh", "h1", "h2", "n", "weight", "bands")
+    wanted = materialize(wanted, "wanted")
+    sets = shingles(src, words, row_filter(wanted)).join(wanted, ["idh", "h1", "h2", "n"]).dropDuplicates(["node"]).select("node", "weight", "bands", "grams")
+    sets = materialize(sets, "sets")
+
+    n_blocks = blocks_of(F.col("size"), block)
+    pairs = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    tasks = todo.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).select("node", "h", "band", "own", F.explode(pairs).alias("p"))
+    tasks = tasks.select("node", "h", "band", "p.i", "p.j", F.when(F.col("p.i") == F.col("own"), 0).otherwise(1).alias("side"))
+    tasks = tasks.join(sets, "node").select("h", "i", "j", "side", "band", "node", "weight", "bands", "grams")
+    found = materialize(verify_tasks(tasks.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "band"), threshold), "found")
     comp = components(found.select(F.col("node").alias("u"), F.col("peer").alias("v")))
-    links = found.groupBy("node").agg(F.sum("links").alias("links")).join(comp, "node", "left")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
 
-    out = sk.select("id", "idh", "key").join(members.select("key", "node", "weight"), "key", "left").join(links, "node", "left")
-    return out.select("id", "idh", "key", F.coalesce("node", "key").alias("node"), F.coalesce(F.col("links") + F.col("weight") - 1, F.col("weight") - 1, F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("comp", "node", "key").alias("comp"))
+    cls = cls.join(links, "node", "left").join(comp, "node", "left")
+    cls = cls.select("h1", "h2", "n", "node", "weight", "s", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("bigint").alias("n_links"), F.coalesce("comp", "node").alias("comp"))
+    cls = materialize(cls, "linked")
+    comps = cls.groupBy("comp").agg(F.count("*").alias("size"), F.min("s").alias("c"))
+    cls = materialize(join_skewed(cls, comps, ["comp"], "size", cls.count()), "grouped")
+    rows = join_skewed(some.select("id", "idh", "key", "h1", "h2", "n"), cls, ["h1", "h2", "n"], "weight", some.count())
+    rows = rows.select("id", "idh", "key", "node", "s", "n_links", "comp", "c")
+    alone = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
+    blank = sk.filter("n = 0").select("id", "idh", "key", F.col("key").alias("node"), alone.alias("s"), F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("comp"), alone.alias("c"))
+    return rows.unionByName(blank)
 
 
 def best_of() -> Column:
@@ -345,19 +342,15 @@ def best_of() -> Column:
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
     """One row per document: id, class_id and set_id (the least document id of the near copies and of the equal shingle sets), n_links."""
-    rows = materialize(near_links(df, id_col, text_col, **how), "near")
-    comps = rows.groupBy("comp").agg(best_of().alias("c"))
-    nodes = rows.groupBy("node").agg(best_of().alias("s"))
-    out = rows.join(comps, "comp").join(nodes, "node")
-    return out.select(F.col("id").alias(id_col), F.col("c.id").alias("class_id"), F.col("s.id").alias("set_id"), "n_links")
+    rows = near_links(df, id_col, text_col, **how)
+    return rows.select(F.col("id").alias(id_col), F.col("c.id").alias("class_id"), F.col("s.id").alias("set_id"), "n_links")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
     """The rows of df without all but one (the least id) of each group of near copies; rows alike in id and text count as one."""
     rows = materialize(near_links(df, id_col, text_col, **how), "near")
-    comps = rows.groupBy("comp").agg(best_of().alias("c"))
-    lose = rows.join(comps, "comp").filter(F.col("key") != F.col("c.key")).select("idh")
-    stay = rows.join(comps, "comp").filter(F.col("key") == F.col("c.key")).select("idh")
+    lose = rows.filter(F.col("key") != F.col("c.key")).select("idh")
+    stay = rows.filter(F.col("key") == F.col("c.key")).select("idh")
     lose = lose.distinct().join(stay, "idh", "left_anti")
     out = df.withColumn("__idh", F.xxhash64(F.col(id_col), F.col(text_col))).join(lose.withColumnRenamed("idh", "__idh"), "__idh", "left_anti")
     order = Window.partitionBy("__idh").orderBy(F.lit(1))

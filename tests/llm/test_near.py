@@ -47,7 +47,7 @@ def brute_join(rows):
     return Counter((rows[i][0], links[i], None if least[groups[i]][0] else least[groups[i]][1]) for i in range(n)), len(set(groups))
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [512, 3])
 def test_ngram_join(spark, block):
     rows = documents()
     got = ngram_join.ngram_join(frame(spark, rows).withColumn("class_id", F.lit("clash")), block=block).collect()
@@ -68,8 +68,54 @@ def test_near_dedup_keeps_one_of_each_group(spark):
 
 
 def test_bands_reach_the_recall():
-    bands, rows = ngram_join.choose_bands(0.8, 0.9995, 120)
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 120
+    bands, rows = ngram_join.choose_bands()
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 120
+    assert 1 - (1 - 0.85**rows) ** bands >= 1 - 1 / 200_000
+
+
+def test_threshold_in_whole_numbers():
+    inter = np.array([[8.0, 7.0], [4.0, 0.0]])
+    got = ngram_join.similar(inter, np.array([9, 5]), np.array([9, 9]), 0.8)
+    assert got.tolist() == [[True, False], [False, False]]
+    assert ngram_join.similar(np.array([[4.0]]), np.array([4]), np.array([5]), 0.8).all()
+
+
+def test_recall_by_similarity(spark):
+    """Links of the generated table by brute force over an inverted index: each class's links, and none more."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = [shingles(t) for _, t in rows]
+    where = {}
+    for k, s in enumerate(sets):
+        for g in s:
+            where.setdefault(g, []).append(k)
+    both = Counter()
+    for k in where.values():
+        if 1 < len(k) < 200:
+            both.update((a, b) for i, a in enumerate(k) for b in k[i + 1 :])
+    links, steps = Counter(), Counter()
+    for (a, b), n in both.items():
+        u = len(sets[a]) + len(sets[b]) - n
+        if 5 * n >= 4 * u:
+            links[rows[a][0]] += 1
+            links[rows[b][0]] += 1
+            steps[int(20 * n / u)] += 1
+    assert sum(steps.values()) > 100 and max(len(k) for k in where.values()) < 200
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in got.items() if v} == dict(links)
+
+
+def test_join_of_a_hot_class(spark):
+    """A text with very many copies, and a large group of near copies, cut into blocks."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = [(k, " ".join(base)) for k in range(300)]
+    for k in range(300, 420):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{rng.randrange(3)}"
+        rows.append((k, " ".join(w)))
+    want, _ = brute_join(rows)
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()
+    assert Counter((r.doc_id, r.n_links, r.class_id) for r in got) == want
 
 
 def test_intersections():
