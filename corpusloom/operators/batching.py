@@ -9,13 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.plans.ordered import BUCKET, ordered
+from corpusloom.plans.ordered import ordered
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
 PIECE = 2048
 PACK = 8192
-PACK_BLOCK = 256
 
 
 @query(
@@ -68,12 +67,12 @@ def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH d AS (SELECT length(text) AS n FROM documents)
 SELECT 'empty' AS rule, count(*) FILTER (WHERE n = 0) AS broken FROM d
-UNION ALL SELECT 'repeated id', (SELECT count(*) - count(DISTINCT doc_id) FROM documents)
+UNION ALL SELECT 'repeated id', (SELECT count(*) FROM documents) - (SELECT count(*) FROM (SELECT DISTINCT doc_id FROM documents))
 UNION ALL SELECT 'n_chars', (SELECT count(*) FILTER (WHERE n_chars IS DISTINCT FROM length(text)) FROM documents)
 """,
 )
 def boundary_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integrity of the document boundaries: counts of rows that break a rule."""
+    """Integrity of the document boundaries: counts of rows that break a rule. Null ids are one id; a null text isn't empty."""
     d = table(spark, sf_dir, "documents")
     one = d.agg(F.count_if(F.length("text") == 0).alias("a"), F.count_if(~F.col("n_chars").eqNullSafe(F.length("text"))).alias("c"))
     two = d.groupBy("doc_id").agg((F.count("*") - 1).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("b"))
@@ -109,39 +108,30 @@ def window_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.count("*").over(w).cast("int").alias("n_visible"), F.sum("n").over(w).alias("chars_visible"))
 
 
-@query(
-    "next_fit_packing",
-    f"""
-WITH RECURSIVE d AS (SELECT doc_id, doc_id // {PACK_BLOCK} AS block, least({PACK}, length(text)) AS n, row_number() OVER (PARTITION BY doc_id // {PACK_BLOCK} ORDER BY doc_id) AS i FROM documents),
-f AS (SELECT doc_id, block, i, CAST(0 AS BIGINT) AS bin, CAST(0 AS BIGINT) AS start, n FROM d WHERE i = 1
-      UNION ALL SELECT d.doc_id, d.block, d.i, CASE WHEN f.start + f.n + d.n > {PACK} THEN f.bin + 1 ELSE f.bin END,
-             CASE WHEN f.start + f.n + d.n > {PACK} THEN 0 ELSE f.start + f.n END, d.n
-      FROM f JOIN d ON d.block = f.block AND d.i = f.i + 1)
-SELECT doc_id, block, CAST(bin AS INT) AS bin, CAST(start AS INT) AS start FROM f
-""",
-)
-def next_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-preserving next-fit packing of documents cut to 8192 characters, anew in each block of 256 ids; ``next_fit_pieces`` has no cut."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"doc_id div {PACK_BLOCK}").alias("block"), F.least(F.lit(PACK), F.length("text")).alias("n"))
-    g = d.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("a"))
-    zero = F.expr("named_struct('bin', 0, 'end', 0, 'out', cast(array() as array<struct<doc_id:bigint,bin:int,start:int>>))")
-
-    def step(acc, x):  # noqa: ANN001, ANN202
-        new = acc.end + x.n > PACK
-        bin_ = F.when(new, acc.bin + 1).otherwise(acc.bin)
-        start = F.when(new, F.lit(0)).otherwise(acc.end)
-        return F.struct(bin_.alias("bin"), (start + x.n).alias("end"), F.concat(acc.out, F.array(F.struct(x.doc_id.alias("doc_id"), bin_.alias("bin"), start.alias("start")))).alias("out"))
-
-    g = g.select("block", F.explode(F.aggregate("a", zero, step).out).alias("x"))
-    return g.select("x.doc_id", "block", "x.bin", "x.start")
+def packing_sql(less: int) -> str:
+    """Next-fit over the pieces in one order: the piece after which each open bin overflows, followed from the first piece on."""
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents),
+q AS (SELECT doc_id, start, least({PIECE}, n - start) - {less} AS length FROM (SELECT doc_id, n, unnest(range(0, greatest(1, n), {PIECE})) AS start FROM t)),
+p AS (SELECT * FROM q WHERE length > 0 OR {less} = 0),
+o AS (SELECT doc_id, CAST(start // {PIECE} AS INT) AS piece, CAST(length AS INT) AS length, row_number() OVER w AS i, CAST(sum(length) OVER w AS BIGINT) AS e FROM p WINDOW w AS (ORDER BY doc_id, start ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT e AS at_, i, CAST(NULL AS BIGINT) AS asks FROM o UNION ALL SELECT e - length + {PACK}, NULL, i FROM o),
+j AS (SELECT asks AS i, max(i) OVER (ORDER BY at_ RANGE UNBOUNDED PRECEDING) + 1 AS j FROM v),
+x AS (SELECT i, j FROM j WHERE i IS NOT NULL),
+f AS (SELECT CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS bin UNION ALL SELECT x.j, f.bin + 1 FROM f JOIN x ON x.i = f.i),
+b AS (SELECT o.*, max(f.bin) OVER w AS bin, max(CASE WHEN f.i IS NOT NULL THEN o.e - o.length END) OVER w AS base FROM o LEFT JOIN f ON f.i = o.i WINDOW w AS (ORDER BY o.i ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, piece, length, bin, CAST(e - length - base AS INT) AS start FROM b
+"""
 
 
-def piece_lengths(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents of these lengths: the document of each piece, the piece's number, its length."""
+def piece_lengths(n: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of these lengths: the document of each piece, the piece's number, its length less ``less``; with that, pieces of nothing are left out."""
     count = np.maximum(1, -(-n // PIECE))
     doc = np.repeat(np.arange(len(n)), count)
     piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    return doc, piece, np.minimum(PIECE, n[doc] - piece * PIECE)
+    length = np.minimum(PIECE, n[doc] - piece * PIECE) - less
+    keep = (length > 0) | (less == 0)
+    return doc[keep], piece[keep], length[keep]
 
 
 def next_starts(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,30 +163,24 @@ def place_pieces(length: np.ndarray, bin_: int, fill: int) -> tuple[np.ndarray,
     return bin_ + k, end - length - base[k]
 
 
-@query(
-    "next_fit_pieces",
-    f"""
-WITH RECURSIVE t AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents),
-p AS (SELECT doc_id, n, unnest(range(0, greatest(1, n), {PIECE})) AS start FROM t),
-o AS (SELECT doc_id, CAST(start // {PIECE} AS INT) AS piece, CAST(least({PIECE}, n - start) AS INT) AS length, row_number() OVER w AS i, CAST(sum(least({PIECE}, n - start)) OVER w AS BIGINT) AS e FROM p WINDOW w AS (ORDER BY doc_id, p.start ROWS UNBOUNDED PRECEDING)),
-v AS (SELECT e AS at_, i, CAST(NULL AS BIGINT) AS asks FROM o UNION ALL SELECT e - length + {PACK}, NULL, i FROM o),
-j AS (SELECT asks AS i, max(i) OVER (ORDER BY at_ RANGE UNBOUNDED PRECEDING) + 1 AS j FROM v),
-x AS (SELECT i, j FROM j WHERE i IS NOT NULL),
-f AS (SELECT CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS bin UNION ALL SELECT x.j, f.bin + 1 FROM f JOIN x ON x.i = f.i),
-b AS (SELECT o.*, max(f.bin) OVER w AS bin, max(CASE WHEN f.i IS NOT NULL THEN o.e - o.length END) OVER w AS base FROM o LEFT JOIN f ON f.i = o.i WINDOW w AS (ORDER BY o.i ROWS UNBOUNDED PRECEDING))
-SELECT doc_id, piece, length, bin, CAST(e - length - base AS INT) AS start FROM b
-""",
-)
-def next_fit_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Next-fit packing of all pieces (as in ``split_pieces``) in one order: each block of ids tells what it does to an open bin, and one row per block carries the bin on."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"(doc_id - pmod(doc_id, {BUCKET})) div {BUCKET}").alias("block"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"))
-    g = d.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("a")).select("block", F.col("a.doc_id").alias("ids"), F.col("a.n").alias("n"))
+#: Documents of a block of the packing.
+PACK_BLOCK = 4096
+
+
+def pack_in_order(docs: DataFrame, less: int) -> DataFrame:
+    """Next-fit packing of all pieces in one order: each block of documents tells what it does to an open bin, and one row per block carries the bin on.
+
+    A null text has no characters; null ids come last; documents of one id come in the order of their lengths.
+    """
+    d = ordered(docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n")), "doc_id")
+    g = d.groupBy(F.expr(f"pos div {PACK_BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "doc_id", "n"))).alias("a")).select("block", F.col("a.doc_id").alias("ids"), F.col("a.n").alias("n"))
 
     def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                length = piece_lengths(n.values.to_numpy())[2]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([length.sum()], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in block_effect(length))], names=["block", "total", "ends", "bins", "fills"])
+                length = piece_lengths(n.values.to_numpy(), less)[2]
+                if len(length):
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([length.sum()], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in block_effect(length))], names=["block", "total", "ends", "bins", "fills"])
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bin_ = fill = 0
@@ -214,9 +198,9 @@ def next_fit_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, n, bin_, fill in zip(*(batch.column(k) for k in range(4)), strict=True):
-                doc, piece, length = piece_lengths(n.values.to_numpy())
+                doc, piece, length = piece_lengths(n.values.to_numpy(), less)
                 bins, start = place_pieces(length, bin_.as_py(), fill.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(ids.values.to_numpy()[doc], pa.int64()), *(pa.array(x.astype(np.int32)) for x in (piece, length)), pa.array(bins, pa.int64()), pa.array(start.astype(np.int32))], names=["doc_id", "piece", "length", "bin", "start"])
+                yield pa.RecordBatch.from_arrays([ids.values.take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (piece, length)), pa.array(bins, pa.int64()), pa.array(start.astype(np.int32))], names=["doc_id", "piece", "length", "bin", "start"])
 
     e = g.select("block", "n").mapInArrow(effects, "block bigint, total bigint, ends array<bigint>, bins array<bigint>, fills array<bigint>")
     # one row per block
@@ -224,6 +208,18 @@ def next_fit_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(opened, "block").select("ids", "n", "bin", "fill").mapInArrow(place, "doc_id bigint, piece int, length int, bin bigint, start int")
 
 
+@query("next_fit_pieces", packing_sql(0))
+def next_fit_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-fit packing of whole pieces (as in ``split_pieces``), those without a character included."""
+    return pack_in_order(table(spark, sf_dir, "documents"), 0)
+
+
+@query("next_fit_packing", packing_sql(1))
+def next_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-fit packing of training pairs: a piece of n symbols has n - 1 of input and target, and one of none is left out."""
+    return pack_in_order(table(spark, sf_dir, "documents"), 1)
+
+
 @query(
     "micro_batch_groups",
     """

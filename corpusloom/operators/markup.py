@@ -118,13 +118,13 @@ def id_delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "tail_split",
     """
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
 k AS (SELECT doc_id, p, line, max(CASE WHEN regexp_matches(line, '[.!?]$') THEN 0 ELSE p END) OVER (PARTITION BY doc_id) AS last FROM l)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE p > last) AS n_tail FROM k GROUP BY doc_id
 """,
 )
 def tail_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document, and those of its tail: the longest end in which every line ends a sentence."""
-    lines = F.split("text", "\n")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")  # a null text counts as empty
     n_tail = F.aggregate(lines, F.lit(0), lambda acc, x: F.when(x.rlike("[.!?]$"), acc + 1).otherwise(F.lit(0)))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), n_tail.cast("bigint").alias("n_tail"))

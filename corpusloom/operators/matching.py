@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,10 +157,51 @@ SELECT doc_id, count(*) AS n_grams, count(*) FILTER (WHERE g IN (SELECT g FROM b
 """,
 )
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of a document's 8-word grams some benchmark item donates. Grams are joined by hash and compared in full."""
-    b = word_grams(table(spark, sf_dir, "benchmark"), "item_id", GRAM).select("g").distinct().withColumn("yes", F.lit(1))
-    d = word_grams(table(spark, sf_dir, "documents"), "doc_id", GRAM)
-    return d.join(b, "g", "left").groupBy("doc_id").agg(F.count("*").alias("n_grams"), F.count("yes").alias("n_contained"))
+    """How many of a document's 8-word grams some benchmark item donates.
+
+    A filter of CONTAINED_BITS bits over the hashes of the benchmark's grams is
+    broadcast; documents stay where they are, and only grams that it lets through are
+    joined, compared in full. Repeated document ids are counted together.
+    """
+    words = lambda name, key: table(spark, sf_dir, name).select(F.col(key).alias("k"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("w")).filter(F.size("w") >= GRAM)
+    grams = words("benchmark", "item_id").mapInArrow(hashed_grams(None), "k bigint, n bigint, g array<string>, h array<bigint>")
+    grams = grams.select(F.explode(F.arrays_zip("g", "h")).alias("x")).select("x.g", "x.h").distinct()
+    words_of_filter = grams.selectExpr(f"pmod(h, {CONTAINED_BITS}) AS s").groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 AS int))")).alias("b"))
+    bits = np.zeros(CONTAINED_BITS // 64, np.int64)  # however large the benchmark
+    for r in words_of_filter.toLocalIterator():
+        bits[r.w] = r.b
+    d = words("documents", "doc_id").mapInArrow(hashed_grams(spark.sparkContext.broadcast(bits)), "doc_id bigint, n bigint, g array<string>, h array<bigint>")
+    total = d.groupBy("doc_id").agg(F.sum("n").alias("n_grams"))
+    hit = d.select("doc_id", F.explode("g").alias("g")).join(grams.select("g"), "g").groupBy("doc_id").agg(F.count("*").alias("k")).withColumnRenamed("doc_id", "d")
+    return total.join(hit, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "n_grams", F.coalesce("k", F.lit(0)).alias("n_contained"))
+
+
+def hashed_grams(known):  # noqa: ANN001, ANN201
+    """A mapInArrow function over (id, words): id, the number of grams, those that the filter lets through (all without one) and their hashes."""
+    powers = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(GRAM)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count, texts, hashes = [], [], []
+            for w in batch.column(1).to_pylist():
+                h = np.array([zlib.crc32(x.encode()) for x in w], np.uint64)
+                n = len(w) - GRAM + 1
+                g = sum(h[k : k + n] * powers[k] for k in range(GRAM))
+                g = (g ^ (g >> np.uint64(29))).view(np.int64)
+                at = np.arange(n)
+                if known is not None:
+                    s = np.mod(g, CONTAINED_BITS)
+                    at = np.flatnonzero((known.value[s >> 6] >> (s & 63)) & 1)
+                count.append(n)
+                texts.append([" ".join(w[i : i + GRAM]) for i in at.tolist()])
+                hashes.append(g[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id" if known is not None else "k", "n", "g", "h"])
+
+    return run
+
+
+#: Bits of the filter over the benchmark's grams.
+CONTAINED_BITS = 1 << 22
 
 
 @query(

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import numeric as N
 from corpusloom.operators.causal import CONFIDENCE_SQL, confidence
+from corpusloom.operators.matching import previous
 from corpusloom.operators.symbols import code_points, order_k_bits
+from corpusloom.operators.words import word_ids
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import header, table
 
@@ -123,15 +126,15 @@ def order_k_bits_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "byte_planes",
     """
-WITH p AS (SELECT k, o_orderkey // CAST(pow(256, k) AS BIGINT) % 256 AS byte FROM orders, range(4) t(k)),
+WITH p AS (SELECT k, (o_orderkey >> CAST(8 * k AS INT)) & 255 AS byte FROM orders, range(8) t(k) WHERE o_orderkey IS NOT NULL),
 n AS (SELECT k, byte, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY k) AS t FROM n)
 SELECT CAST(k AS INT) AS plane, count(*) AS n_symbols, round(sum(-(n / t) * log2(n / t)), 6) AS entropy FROM s GROUP BY k
 """,
 )
 def byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four byte planes of the order keys: symbols and entropy."""
-    planes = F.explode(F.array(*[F.struct(F.lit(k).alias("plane"), F.expr(f"shiftright(o_orderkey, {8 * k}) & 255").alias("byte")) for k in range(4)]))
-    n = table(spark, sf_dir, "orders").select(planes.alias("x")).groupBy("x.plane", "x.byte").agg(F.count("*").alias("n"))
+    """The eight byte planes of the order keys: symbols and entropy. A null key has no bytes."""
+    planes = F.explode(F.array(*[F.struct(F.lit(k).alias("plane"), F.expr(f"shiftright(o_orderkey, {8 * k}) & 255").alias("byte")) for k in range(8)]))
+    n = table(spark, sf_dir, "orders").filter("o_orderkey IS NOT NULL").select(planes.alias("x")).groupBy("x.plane", "x.byte").agg(F.count("*").alias("n"))
     g = n.groupBy("plane").agg(F.count("*").alias("n_symbols"), F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     return g.select("plane", "n_symbols", F.round(F.log2("t") - F.col("s") / F.col("t"), 6).alias("entropy"))
 
@@ -176,11 +179,21 @@ SELECT CAST(floor(log2(d)) AS INT) AS log_distance, count(*) AS n FROM d WHERE d
 """,
 )
 def context_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances to the last same word, by power of two. Words are lined up within their document's array."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
-    x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("p", "w"))
-    x = x.withColumn("d", F.col("p") - F.lag("p").over(Window.partitionBy("doc_id", "w").orderBy("p"))).filter("d IS NOT NULL")
-    return x.groupBy((F.length(F.bin("d")) - 1).alias("log_distance")).agg(F.count("*").alias("n"))
+    """Distances to the last same word, by power of two. Words are lined up within their document; nothing is exploded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.zeros(64, np.int64)
+            for t in batch.column(0).to_pylist():
+                ids = word_ids(t)
+                prev = previous(ids)
+                at = np.flatnonzero(prev >= 0)
+                total += np.bincount(np.frexp((at - prev[at]).astype(float))[1] - 1, minlength=64)
+            k = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["log_distance", "n"])
+
+    got = table(spark, sf_dir, "documents").select("text").mapInArrow(run, "log_distance int, n bigint")
+    return got.groupBy("log_distance").agg(F.sum("n").alias("n"))
 
 
 @query(

@@ -177,7 +177,21 @@ def bytes_since_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Classes of characters: lower, upper, digit, blank, mark, other.
-CLASS_RX = (("a", "[a-z]"), ("A", "[A-Z]"), ("9", "[0-9]"), ("_", r"[ \t\n\r]"), (".", r"[!-/:-@\[-`{-~]"))
+CLASSES = "aA9_.x"
+
+
+def class_of(cp: np.ndarray) -> np.ndarray:
+    """The class of each code point, by a table of the ASCII ones."""
+    return CLASS_TABLE[np.minimum(cp, 128)]
+
+
+def class_table() -> np.ndarray:
+    c = np.arange(129)
+    ranges = [(c >= 97) & (c <= 122), (c >= 65) & (c <= 90), (c >= 48) & (c <= 57), np.isin(c, (9, 10, 13, 32)), (c > 32) & (c < 127)]
+    return np.select(ranges, range(5), 5).astype(np.int8)
+
+
+CLASS_TABLE = class_table()
 
 
 @query(
@@ -191,16 +205,17 @@ SELECT lang, cls, count(*) AS n_chars, count(*) FILTER (WHERE new) AS n_runs FRO
 """,
 )
 def byte_class_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters and runs of each class, by language, by rewriting texts in place."""
-    docs = table(spark, sf_dir, "documents").filter("text <> ''")
-    # the classes' letters are rewritten last to first through code points of the private use area
-    cls = F.col("text")
-    for k, (_, rx) in enumerate(CLASS_RX):
-        cls = F.regexp_replace(cls, rx, chr(0xE000 + k))
-    cls = F.regexp_replace(cls, "[^-]", "")
-    docs = docs.select("lang", cls.alias("s")).withColumn("r", F.regexp_replace("s", r"(?s)(.)\1+", "$1"))
-    names = [x for x, _ in CLASS_RX] + ["x"]
-    count = lambda col, k: F.length(col) - F.length(F.replace(F.col(col), F.lit(chr(0xE000 + k)), F.lit("")))
-    each = F.array(*[F.struct(F.lit(n).alias("cls"), count("s", k).cast("bigint").alias("n"), count("r", k).cast("bigint").alias("m")) for k, n in enumerate(names)])
-    out = docs.select("lang", F.explode(each).alias("e")).filter("e.n > 0")
-    return out.groupBy("lang", F.col("e.cls").alias("cls")).agg(F.sum("e.n").alias("n_chars"), F.sum("e.m").alias("n_runs"))
+    """Characters and runs of each class, by language; each text is mapped by a table where it lies. A null text has no characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: dict[str | None, np.ndarray] = {}
+            for lang, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cls = class_of(code_points(t or ""))
+                new = cls[np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))] if len(cls) else cls
+                total[lang] = total.get(lang, 0) + np.stack([np.bincount(x, minlength=6) for x in (cls, new)])
+            rows = [(lang, CLASSES[k], int(n[0, k]), int(n[1, k])) for lang, n in total.items() for k in range(6) if n[0, k]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "cls", "n", "m"])
+
+    got = table(spark, sf_dir, "documents").select("lang", "text").mapInArrow(run, "lang string, cls string, n bigint, m bigint")
+    return got.groupBy("lang", "cls").agg(F.sum("n").alias("n_chars"), F.sum("m").alias("n_runs"))

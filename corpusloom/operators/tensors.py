@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import numeric as N
+from corpusloom.operators.symbols import log2_factorials
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
@@ -83,14 +88,30 @@ g AS (SELECT context, label, lgamma(15 + sum(n)) - lgamma(15) - sum(lgamma(1 + n
 SELECT context, label, round(sum(nats) / ln(2), 2) AS bits FROM g GROUP BY ALL""",
 )
 def conditional_code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adaptive code lengths given nothing, the previous symbol, or the previous two."""
-    v = quantized(spark, sf_dir).select("vec_id", "label", "q")
-    at = lambda i, k: F.when(i >= k, F.get("q", i - k)).otherwise(F.lit(0))
-    keys = F.transform("q", lambda x, i: F.array(F.struct(F.lit("order0").alias("context"), F.lit(0).alias("c"), x.alias("sym")), F.struct(F.lit("prev").alias("context"), at(i, 1).alias("c"), x.alias("sym")), F.struct(F.lit("prev2").alias("context"), (at(i, 1) * 100 + at(i, 2)).alias("c"), x.alias("sym"))))
-    n = v.select("vec_id", "label", F.inline(F.flatten(keys))).groupBy("context", "label", "vec_id", "c", "sym").agg(F.count("*").alias("n"))
-    g = n.groupBy("context", "label", "vec_id", "c").agg(F.sum("n").alias("n"), F.sum(N.log2_factorial(F.col("n"))).alias("o"))
-    bits = N.log2_factorial(F.col("n") + (LEVELS - 1)) - N.log2_factorial(F.lit(LEVELS - 1)) - F.col("o")
-    return g.groupBy("context", "label").agg(F.round(F.sum(bits), 2).alias("bits"))
+    """Adaptive code lengths given nothing, the previous symbol, or the previous two. Each vector is folded where it lies; only totals of a label are grouped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: dict[tuple, float] = {}
+            for label, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sym = np.array(q, np.int64)
+                back = [np.concatenate([np.zeros(k, np.int64), sym])[: len(sym)] for k in (1, 2)]
+                for name, ctx in (("order0", 0 * sym), ("prev", back[0]), ("prev2", back[0] * 100 + back[1])):
+                    total[name, label] = total.get((name, label), 0.0) + add_one_bits(ctx, sym, LEVELS)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.float64())], names=["context", "label", "bits"])
+
+    got = quantized(spark, sf_dir).filter("q IS NOT NULL").select("label", "q").mapInArrow(run, "context string, label int, bits double")
+    return got.groupBy("context", "label").agg(F.round(F.sum("bits"), 2).alias("bits"))
+
+
+def add_one_bits(ctx: np.ndarray, sym: np.ndarray, alphabet: int) -> float:
+    """Bits of an adaptive model with add-one counts in each context, in closed form."""
+    if not len(sym):
+        return 0.0
+    pair = np.unique(ctx * 1000 + sym, return_counts=True)[1]
+    per = np.unique(ctx, return_counts=True)[1]
+    f = log2_factorials(int(per.max()) + alphabet + 1)
+    return float((f[per + alphabet - 1] - f[alphabet - 1]).sum() - f[pair].sum())
 
 
 @query(

@@ -167,15 +167,26 @@ def stem_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.withColumn("s", stems("word")).select("word", "n", "s.stem", "s.kind")
 
 
-def word_hits(words: list[str], lags: tuple[int, ...]) -> tuple[int, int]:
+WORD = re.compile("[a-z]+")
+
+
+def word_ids(text: str | None) -> np.ndarray:
+    """The words of a text, lower-cased, as numbers in order of their first occurrence."""
+    known: dict[str, int] = {}
+    return np.array([known.setdefault(w, len(known)) for w in WORD.findall((text or "").lower())], np.int64)
+
+
+def word_hits(ids: np.ndarray, lags: tuple[int, ...]) -> tuple[int, int]:
     """Predictions of the next word by the last occurrence of the words at these distances, and hits."""
-    ids = np.unique(np.array(words, object).astype(str), return_inverse=True)[1].astype(np.int64) if words else np.zeros(0, np.int64)
     reach = max(lags)
     if len(ids) <= reach:
         return 0, 0
     key = np.zeros(len(ids) - reach, np.int64)
-    for k in lags:
-        key = np.unique(key * (len(ids) + 1) + ids[reach - k : len(ids) - k], return_inverse=True)[1].astype(np.int64)
+    size = int(ids.max()) + 1
+    for n, k in enumerate(lags):
+        if n and size ** (n + 1) >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key = key * size + ids[reach - k : len(ids) - k]
     prev = previous(key)
     nxt = ids[reach:]
     at = np.flatnonzero(prev >= 0)
@@ -194,26 +205,26 @@ l AS (SELECT doc_id, p, w, lag(w, 1) OVER o AS a, lag(w, 2) OVER o AS b, lag(w,
 k AS (SELECT doc_id, p, w, '1' AS context, a AS key FROM l UNION ALL SELECT doc_id, p, w, '2', b FROM l UNION ALL SELECT doc_id, p, w, '1-2', a || ' ' || b FROM l
       UNION ALL SELECT doc_id, p, w, '1-3', CASE WHEN c IS NOT NULL THEN a || ' ' || c END FROM l UNION ALL SELECT doc_id, p, w, '1-2-3', a || ' ' || b || ' ' || c FROM l),
 g AS (SELECT doc_id, context, w, lag(w) OVER (PARTITION BY doc_id, context, key ORDER BY p) AS guess FROM k WHERE key IS NOT NULL)
-SELECT context, count(guess) AS n_predicted, count(*) FILTER (WHERE guess = w) AS n_hit FROM g GROUP BY context
+SELECT context, count(guess) AS n_predicted, count(*) FILTER (WHERE guess = w) AS n_hit FROM g GROUP BY context HAVING count(guess) > 0
 """,
 )
 def word_context_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the last occurrence of a word context within the document predicts the next word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rx = re.compile("[a-z]+")
         for batch in batches:
             total = {c: [0, 0] for c in CONTEXTS}
             for t in batch.column(0).to_pylist():
-                words = rx.findall((t or "").lower())
+                ids = word_ids(t)
                 for c, lags in CONTEXTS.items():
-                    n, hit = word_hits(words, lags)
+                    n, hit = word_hits(ids, lags)
                     total[c][0] += n
                     total[c][1] += hit
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in (0, 1))], names=["context", "n", "hit"])
 
     got = table(spark, sf_dir, "documents").select("text").mapInArrow(run, "context string, n bigint, hit bigint")
-    return got.groupBy("context").agg(F.sum("n").alias("n_predicted"), F.sum("hit").alias("n_hit"))
+    # a context that no word has is no row
+    return got.groupBy("context").agg(F.sum("n").alias("n_predicted"), F.sum("hit").alias("n_hit")).filter("n_predicted > 0")
 
 
 @query(
@@ -228,7 +239,7 @@ SELECT d.doc_id, coalesce(n_known, 0) AS n_known, coalesce(n_hit, 0) AS n_hit FR
 )
 def column_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters that have one above them in the line before, and those equal to it."""
-    lines = F.split("text", "\n")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
     pairs = F.transform(F.slice(lines, 2, F.greatest(F.lit(0), F.size(lines) - 1)), lambda x, i: F.struct(F.get(lines, i).alias("a"), x.alias("b")))
     n = F.transform("p", lambda x: F.least(F.length(x.a), F.length(x.b)))
     same = F.transform("p", lambda x: F.size(F.filter(F.zip_with(F.split(x.a, ""), F.split(x.b, ""), lambda u, v: (u != "") & u.eqNullSafe(v)), lambda z: z)))

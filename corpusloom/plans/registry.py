@@ -40,5 +40,6 @@ MODULES = (
     "operators.words",
     "operators.codec",
     "operators.models",
+    "operators.contexts",
     "streaming.online",
 )

@@ -42,7 +42,7 @@ def test_ordered_equals_plain_order(spark):
     rng = random.Random(1)
     keys = rng.sample(range(100_000), 500)
     df = spark.createDataFrame([(k, k % 7, k % 3) for k in keys], "k long, x long, s long")
-    rows = sorted(ordered(df, "k", add=F.col("x"), section=F.col("s"), bucket=1000).collect(), key=lambda r: r.pos)
+    rows = sorted(ordered(df, "k", add=F.col("x"), section=F.col("s")).collect(), key=lambda r: r.pos)
     assert [r.k for r in rows] == sorted(keys, key=lambda k: (k % 3, k))
     upto = 0
     for r in rows:
