@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,16 +134,16 @@ def piece_lengths(n: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray,
     return doc[keep], piece[keep], length[keep]
 
 
-def next_starts(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the pieces when laid in a row, and for each piece the one that starts the next bin if it starts one."""
+def next_starts(length: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the pieces when laid in a row, and for each piece the one that starts the next bin if it starts one; a piece that is longer than a bin has one of its own."""
     end = np.cumsum(length)
-    return end, np.searchsorted(end, end - length + PACK, side="right")
+    return end, np.maximum(np.arange(1, len(end) + 1), np.searchsorted(end, end - length + room, side="right"))
 
 
-def block_effect(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_effect(length: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What a block does to an open bin. With room r, its first new bin starts at piece searchsorted(ends, r, right); then so many bins are opened and the last is filled so far."""
-    end, after = next_starts(length)
-    m, size = min(len(end), int(np.searchsorted(end, PACK, side="right")) + 1), len(end)
+    end, after = next_starts(length, room)
+    m, size = min(len(end), int(np.searchsorted(end, room, side="right")) + 1), len(end)
     bins, fill = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for i in range(size - 1, -1, -1):
         j = after[i]
@@ -151,10 +151,10 @@ def block_effect(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return end[:m], bins[:m], fill[:m]
 
 
-def place_pieces(length: np.ndarray, bin_: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
+def place_pieces(length: np.ndarray, bin_: int, fill: int, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and start of each piece, going on in a bin that is filled so far."""
-    end, after = next_starts(length)
-    starts, i = [], int(np.searchsorted(end, PACK - fill, side="right"))
+    end, after = next_starts(length, room)
+    starts, i = [], int(np.searchsorted(end, room - fill, side="right"))
     while i < len(end):
         starts.append(i)
         i = int(after[i])
@@ -168,7 +168,17 @@ PACK_BLOCK = 4096
 
 
 def pack_in_order(docs: DataFrame, less: int) -> DataFrame:
-    """Next-fit packing of all pieces in one order: each block of documents tells what it does to an open bin, and one row per block carries the bin on.
+    """Next-fit packing of all pieces into bins of PACK."""
+    return in_order(docs, PACK, lambda n: piece_lengths(n, less))
+
+
+def block_fold(docs: DataFrame, room: int) -> DataFrame:
+    """Next-fit merging of whole documents; a document that is longer than a bin is alone in one."""
+    return in_order(docs, room, lambda n: (np.arange(len(n)), np.zeros(len(n), np.int64), n))
+
+
+def in_order(docs: DataFrame, room: int, lengths: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Next-fit packing in one order: each block of documents tells what it does to an open bin, and one row per block carries the bin on.
 
     A null text has no characters; null ids come last; documents of one id come in the order of their lengths.
     """
@@ -178,9 +188,9 @@ def pack_in_order(docs: DataFrame, less: int) -> DataFrame:
     def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                length = piece_lengths(n.values.to_numpy(), less)[2]
+                length = lengths(n.values.to_numpy())[2]
                 if len(length):
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([length.sum()], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in block_effect(length))], names=["block", "total", "ends", "bins", "fills"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([length.sum()], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in block_effect(length, room))], names=["block", "total", "ends", "bins", "fills"])
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bin_ = fill = 0
@@ -188,18 +198,18 @@ def pack_in_order(docs: DataFrame, less: int) -> DataFrame:
             out = []
             for block, total, ends, bins, fills in zip(*(batch.column(k) for k in range(5)), strict=True):
                 out.append((block.as_py(), bin_, fill))
-                if fill + total.as_py() <= PACK:
+                if fill + total.as_py() <= room:
                     fill += total.as_py()
                 else:
-                    i = int(np.searchsorted(ends.values.to_numpy(), PACK - fill, side="right"))
+                    i = int(np.searchsorted(ends.values.to_numpy(), room - fill, side="right"))
                     bin_, fill = bin_ + bins.values[i].as_py(), fills.values[i].as_py()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, names=["block", "bin", "fill"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, n, bin_, fill in zip(*(batch.column(k) for k in range(4)), strict=True):
-                doc, piece, length = piece_lengths(n.values.to_numpy(), less)
-                bins, start = place_pieces(length, bin_.as_py(), fill.as_py())
+                doc, piece, length = lengths(n.values.to_numpy())
+                bins, start = place_pieces(length, bin_.as_py(), fill.as_py(), room)
                 yield pa.RecordBatch.from_arrays([ids.values.take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (piece, length)), pa.array(bins, pa.int64()), pa.array(start.astype(np.int32))], names=["doc_id", "piece", "length", "bin", "start"])
 
     e = g.select("block", "n").mapInArrow(effects, "block bigint, total bigint, ends array<bigint>, bins array<bigint>, fills array<bigint>")

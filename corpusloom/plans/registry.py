@@ -41,5 +41,6 @@ MODULES = (
     "operators.codec",
     "operators.models",
     "operators.contexts",
+    "operators.datasets",
     "streaming.online",
 )
