@@ -42,5 +42,6 @@ MODULES = (
     "operators.models",
     "operators.contexts",
     "operators.datasets",
+    "operators.dictionary",
     "streaming.online",
 )
