@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.stemmer import stem
 from corpusloom.operators.matching import previous
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
@@ -84,76 +85,6 @@ def affix_match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return affixes(word_counts(spark, sf_dir), ONE + TWO + THREE)
 
 
-VOWEL = "[aeiouy]"
-REGION = re.compile(f"{VOWEL}[^aeiouy](.*)$")
-# fixed values: suffixes of the second, third and fourth step and what stands for them
-STEP2 = (("ational", "ate"), ("tional", "tion"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"))
-STEP3 = (("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", ""))
-STEP4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic")
-
-
-def regions(w: str) -> tuple[int, int]:
-    m = REGION.search(w)
-    r1 = m.start(1) if m else len(w)
-    m = REGION.search(w[r1:])
-    return r1, r1 + m.start(1) if m else len(w)
-
-
-def stem(word: str) -> tuple[str, str]:
-    """A suffix-stripping stem of an English word, and the word class that its endings suggest."""
-    w = word.lower().strip("'")
-    kind = "other"
-    if len(w) <= 2:
-        return w, kind
-    for s in ("'s'", "'s", "'"):
-        w = w.removesuffix(s)
-    r1, r2 = regions(w)
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith(("ied", "ies")):
-        w = w[:-2] if len(w) > 4 else w[:-1]
-    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search(VOWEL, w[:-2]):
-        w, kind = w[:-1], "plural"
-    if w.endswith(("eed", "eedly")):
-        cut = w.removesuffix("ly")
-        w = cut[:-1] if len(cut) - 3 >= r1 else w
-    else:
-        for s in ("ingly", "edly", "ing", "ed"):
-            if w.endswith(s) and re.search(VOWEL, w[: -len(s)]):
-                w = w[: -len(s)]
-                kind = "past" if s.startswith("ed") else "participle"
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif re.search(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)$", w):
-                    w = w[:-1]
-                elif len(w) <= r1 and re.search(r"[^aeiouy][aeiouy][^aeiouywx]$", w):
-                    w += "e"
-                break
-    if len(w) > 2 and w.endswith("y") and w[-2] not in "aeiouy":
-        w = w[:-1] + "i"
-    for old, new in STEP2:
-        if w.endswith(old):
-            if len(w) - len(old) >= r1:
-                w = w.removesuffix(old) + new
-                kind = "adverb" if old.endswith("li") else kind
-            break
-    for old, new in STEP3:
-        if w.endswith(old):
-            if len(w) - len(old) >= r1:
-                w = w.removesuffix(old) + new
-                kind = {"ful": "adjective", "ness": "noun"}.get(old, kind)
-            break
-    for old in STEP4:
-        if w.endswith(old):
-            if len(w) - len(old) >= r2:
-                w = w.removesuffix(old)
-                kind = "adjective" if old in ("ous", "ive", "able", "ible", "al", "ic") else kind
-            break
-    if w.endswith("e") and len(w) - 1 >= r2 or w.endswith("ll") and len(w) - 1 >= r2:
-        w = w[:-1]
-    return w, kind
-
-
 @query("stem_types")
 def stem_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems and word classes of the English words. The function runs once for each distinct word."""

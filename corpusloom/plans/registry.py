@@ -43,5 +43,6 @@ MODULES = (
     "operators.contexts",
     "operators.datasets",
     "operators.dictionary",
+    "operators.wordtypes",
     "streaming.online",
 )
