@@ -44,5 +44,6 @@ MODULES = (
     "operators.datasets",
     "operators.dictionary",
     "operators.wordtypes",
+    "operators.coding",
     "streaming.online",
 )
