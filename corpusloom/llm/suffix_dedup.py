@@ -10,26 +10,31 @@ finds that:
    of about two in ``width - gram`` positions stands for all windows, as the sampled
    positions of a difference cover do. Windows of one anchor are consecutive: the
    anchor's range.
-2. Anchors that occur once can't repeat. Counts of their hashes, kept as packed
-   arrays, pass into a bit filter of bounded size; what it lets through goes on. A
-   second filter tells the anchors of ``hot`` places or more, whose rows are dealt by
-   document as well.
-3. Places are sorted by anchor and range. Ranges that are equal as a whole (hash of
-   the range and the anchor's place in it) lie next to each other: all windows of all
-   but the first repeat; these need no sorting, however many copies there are.
+2. Anchors that occur once can't repeat. Their hashes, counted before they are shuffled
+   and kept as packed arrays, pass into a bit filter of bounded size; what it lets
+   through goes on. A second filter tells the anchors of ``hot`` places or more, whose
+   rows are dealt by document as well.
+3. Places are sorted by anchor and range. Ranges that are equal as a whole lie next to
+   each other: all windows of all but the first repeat; these need no sorting, however
+   many copies there are. They are equal by the anchor's hash and by that of the range
+   and the anchor's place in it, 64 bits each; their bytes aren't compared, because the
+   texts of all copies would have to be shuffled for it.
 4. The first places of different ranges that share an anchor go to one task as byte
-   strings. There the difference-cover algorithm sorts their suffixes: sampled triples
-   are sorted and named, names are sorted recursively, the remaining suffixes are
-   merged in, and adjacent prefixes of ``width`` bytes are compared byte by byte. Of
-   equal windows all but the earliest repeat. An anchor with more than ``most`` such
-   places is dealt by the hash of each window instead, so that no task grows with it.
+   strings. Windows whose hash occurs once there are cut off; of what is left the
+   difference-cover algorithm sorts the suffixes: sampled triples are sorted and named,
+   names are sorted recursively, the remaining suffixes are merged in, and adjacent
+   prefixes of ``width`` bytes are compared byte by byte. Of equal windows all but the
+   earliest repeat. An anchor with more than ``most`` such places is dealt by the hash
+   of each window instead: windows that are equal (byte by byte) are reduced to the
+   earliest before the shuffle, and met in order of place after it.
 5. The repeated windows of each document are merged and cut out. Documents that have
    none by a third filter aren't shuffled.
 
 Documents are ordered by id (nulls last), then by a hash of the text; rows alike in
 id and text are the same document and get the same result. A null text counts as
-empty; texts shorter than ``width`` are kept whole; an empty table gives an empty
-result; extra columns are ignored unless carried.
+empty; texts shorter than ``width`` are kept whole, very long ones are read in parts
+that overlap; an empty table gives an empty result; a carried column that has the name
+of a result is renamed (see ``carried``), other extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SpanHash, batch_sizes, slices, splitmix, text_bytes
+from corpusloom.llm.common import SpanHash, batch_sizes, carried, slices, splitmix, text_bytes
 from corpusloom.session import materialize
 
 WIDTH = 100
@@ -239,25 +244,29 @@ def gather_filters(packed: DataFrame, bits: int, bucket_bits: int, least: tuple[
 
 
 def by_bucket(packed: DataFrame, parts: int, bits: int, bucket_bits: int, least: tuple[int, ...]) -> DataFrame:
-    """From (bucket, 32-bit words) the filter ranges of the words that occur at least so often, for each of ``least``."""
+    """From (bucket, distinct 32-bit words, counts above one) the filter ranges of the words that occur at least so often, for each of ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
+        more: list[bytes] = []
         now = None
 
         def close() -> pa.RecordBatch:
             rest, n = np.unique(np.frombuffer(b"".join(held), np.uint32), return_counts=True)
+            extra = np.frombuffer(b"".join(more), np.uint32).reshape(-1, 2)
+            n = n + np.bincount(np.searchsorted(rest, extra[:, 0]), weights=extra[:, 1], minlength=len(rest)).astype(np.int64)
             width = bits - bucket_bits
             bit_rows = [pack_bits(rest[n >= x] >> np.uint32(32 - width), 1 << width) for x in least]
             return pa.RecordBatch.from_arrays([pa.array([now] * len(least), pa.int32()), pa.array(range(len(least)), pa.int32()), pa.array(bit_rows, pa.binary())], names=["bucket", "k", "bits"])
 
         for batch in batches:
-            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for b, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != now and held:
                     yield close()
-                    held = []
+                    held, more = [], []
                 now = b
-                held.append(raw)
+                held.append(words)
+                more.append(counts)
         if held:
             yield close()
 
@@ -265,14 +274,20 @@ def by_bucket(packed: DataFrame, parts: int, bits: int, bucket_bits: int, least:
 
 
 def deal(h: np.ndarray, bucket_bits: int) -> Iterator[pa.RecordBatch]:
-    """Pack hashes by their leading bits: (bucket, the next 32 bits of each)."""
-    h = np.sort(h)
-    bucket = (h >> np.uint64(64 - bucket_bits)).astype(np.int64)
-    rest = ((h << np.uint64(bucket_bits)) >> np.uint64(32)).astype(np.uint32)
+    """Pack hashes by their leading bits: bucket, the next 32 bits of each distinct one, and (32 bits, further occurrences) of those that occur again."""
+    h = np.sort(h >> np.uint64(32 - bucket_bits))
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    n = np.diff(np.append(first, len(h)))
+    h = h[first]
+    bucket = (h >> np.uint64(32)).astype(np.int64)
+    rest = h.astype(np.uint32)  # the lower 32 bits
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    raw = rest.tobytes()
     ends = np.append(cut[1:], len(h))
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([raw[4 * a : 4 * b] for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["bucket", "words"])
+    again = np.flatnonzero(n > 1)
+    pairs = np.column_stack([rest[again], np.minimum(n[again] - 1, 1 << 30).astype(np.uint32)])
+    raw, raw_again = rest.tobytes(), pairs.tobytes()
+    lo, hi = np.searchsorted(again, cut), np.searchsorted(again, ends)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([raw[4 * a : 4 * b] for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([raw_again[8 * a : 8 * b] for a, b in zip(lo, hi, strict=True)], pa.binary())], names=["bucket", "words", "counts"])
 
 
 def mix_place(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -299,7 +314,7 @@ def packer(column: int, bucket_bits: int, hashes) -> Callable:  # noqa: ANN001
     return run
 
 
-PACKED = "bucket int, words binary"
+PACKED = "bucket int, words binary, counts binary"
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, most: int = MOST, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
@@ -372,7 +387,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if len(k):
                         yield cut_strings(part, row, place, data, off, a, k, crowded.value.has(a.gram[k]), width, parts)
 
-    ctx = src.mapInArrow(strings, f"id {kind}, doc bigint, lo int, g bigint, salt int, s binary")
+    ctx = src.mapInArrow(strings, f"id {kind}, doc bigint, lo int, g bigint, salt int, s binary, m int")
     ctx = ctx.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", F.col("id").asc_nulls_last(), "doc", "lo")
     ragged = materialize(ctx.mapInArrow(lambda it: sort_strings(it, width), f"id {kind}, doc bigint, a int, b int"), "ragged")
 
@@ -394,46 +409,56 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     touched = whole.mapInArrow(part_of(True), whole.schema).join(spans, F.col("id").eqNullSafe(F.col("id2")) & (F.col("doc") == F.col("doc2")), "left").select("row", "t", "spans")
     clean = whole.mapInArrow(part_of(False), whole.schema).select("row", "t", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
     got = touched.mapInArrow(cut_out, result).unionByName(clean.mapInArrow(cut_out, result))
-    return got.select(*[F.col("row").getField(c).alias(c) for c in carry], "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
+    return got.select(*carried("row", carry, ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
 
 
 HASHER = SpanHash()
 
 
 def first_places(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Places sorted by (g, salt, sig, id, doc, lo): those whose range occurs before, as (a, b), and the first ones of anchors with several ranges."""
-    held: pa.Table | None = None
-
-    def work(t: pa.Table) -> pa.RecordBatch | None:
-        g, salt, sig, doc, lo, n = (np.asarray(t.column(c)) for c in ("g", "salt", "sig", "doc", "lo", "n"))
-        new_g = np.concatenate([[True], (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])])
-        new = new_g.copy()
-        new[1:] |= sig[1:] != sig[:-1]
-        group = np.cumsum(new_g) - 1
-        several = (np.bincount(group, weights=new) > 1)[group] | (salt > 0)
-        again = np.concatenate([[False], (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1])]) & ~new
-        keep = np.flatnonzero((~new & ~again) | (new & several))
-        if not len(keep):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(new[keep]), t.column("id").combine_chunks().take(pa.array(keep)), pa.array(doc[keep]), pa.array(lo[keep].astype(np.int32)), pa.array((lo + n + width)[keep].astype(np.int32)), pa.array(g[keep])], names=["first", "id", "doc", "a", "b", "g"])
+    """Places sorted by (g, salt, sig, id, doc, lo): those whose range occurs before, as (a, b), and the first ones of anchors with several ranges.
+
+    What is held from batch to batch is the last row, and the first place of the open
+    anchor while that has one range only.
+    """
+    last: tuple | None = None
+    open_first: pa.RecordBatch | None = None
+
+    def rows(batch: pa.RecordBatch, k: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        part = batch.take(pa.array(k))
+        lo, n = np.asarray(part.column(2)).astype(np.int32), np.asarray(part.column(3))
+        return pa.RecordBatch.from_arrays([pa.array(first), part.column(0), part.column(1), pa.array(lo), pa.array((lo + n + width).astype(np.int32)), part.column(4)], names=["first", "id", "doc", "a", "b", "g"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([held, t]) if held is not None else t
-        g, salt = np.asarray(t.column("g")), np.asarray(t.column("salt"))
-        # the last anchor may go on in the next batch
-        end = int(np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])]))[-1])
-        held = t.slice(end)
-        if end and (out := work(t.slice(0, end))) is not None:
-            yield out
-    if held is not None and (out := work(held)) is not None:
-        yield out
+        doc, lo, g, sig, salt = (np.asarray(batch.column(k)) for k in (1, 2, 4, 5, 6))
+        keys = (g, salt, sig, doc, lo)
+        differs = [np.concatenate([[last is None or x[0] != last[k]], x[1:] != x[:-1]]) for k, x in enumerate(keys)]
+        new_g = differs[0] | differs[1]
+        new = new_g | differs[2]
+        again = ~new & ~differs[3] & ~differs[4]
+        group = np.cumsum(new_g)  # 0 is the anchor that was open before
+        n_new = np.bincount(group, weights=new, minlength=int(group[-1]) + 1)
+        several = n_new > 1
+        several[0] = n_new[0] > 0
+        if open_first is not None and several[0]:
+            yield open_first
+        if several[0] or group[-1] > 0:
+            open_first = None
+        emit = new & (several[group] | (salt > 0))
+        keep = np.flatnonzero((~new & ~again) | emit)
+        if len(keep):
+            yield rows(batch, keep, new[keep])
+        # the last anchor goes on: its only range so far may get company
+        if group[-1] > 0 and n_new[-1] == 1 and salt[-1] == 0:
+            at = np.flatnonzero(new_g)[-1:]
+            open_first = rows(batch, at, np.array([True]))
+        last = tuple(x[-1] for x in keys)
 
 
 def cut_strings(part: pa.RecordBatch, row: int, place: int, data: np.ndarray, off: np.ndarray, a: Anchors, k: np.ndarray, crowded: np.ndarray, width: int, salts: int) -> pa.RecordBatch:
-    """The ranges of places k as strings; of crowded anchors each window, dealt by its hash."""
+    """The ranges of places k as strings (m = 0); of crowded anchors the windows, dealt by their hash: the earliest of equal ones as a string, the others as repeats (m = width)."""
     raw = data.tobytes()
     at = row + a.row[k]
     begin = off[a.row[k]] + a.lo[k]
@@ -446,46 +471,108 @@ def cut_strings(part: pa.RecordBatch, row: int, place: int, data: np.ndarray, of
     shift = np.concatenate([np.zeros(len(one), np.int64), step])
     x = begin[pick] + shift
     y = x + np.concatenate([size[one] - 1, np.zeros(len(many), np.int64)]) + width
-    salt = np.zeros(len(pick), np.int32)
+    salt, m = np.zeros(len(pick), np.int32), np.zeros(len(pick), np.int32)
     if len(many):
-        h = splitmix(HASHER.spans(HASHER.sums(data), x[len(one) :], y[len(one) :]))
+        start = x[len(one) :]
+        h = splitmix(HASHER.spans(HASHER.sums(data), start, start + width))
         salt[len(one) :] = 1 + (h % np.uint64(salts)).astype(np.int32)
+        order = ranks(part)
+        doc, spot = order[at[many]], lo[many] + step
+        by = np.lexsort((spot, doc, h))
+        first = np.concatenate([[True], h[by][1:] != h[by][:-1]])
+        head = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+        for i in range(0, len(by), 20_000):
+            u, v = start[by[i : i + 20_000]], start[head[i : i + 20_000]]
+            same = (data[u[:, None] + np.arange(width)] == data[v[:, None] + np.arange(width)]).all(1)
+            # a row that is repeated has the same place, which is no repeat
+            p, q = by[i : i + 20_000], head[i : i + 20_000]
+            m[len(one) + p[same & ((doc[p] != doc[q]) | (spot[p] != spot[q]))]] = width
     rows = pa.array(at[pick])
-    return pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array((lo[pick] + shift).astype(np.int32)), pa.array(a.gram[k][pick].view(np.int64)), pa.array(salt), pa.array([raw[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], pa.binary())], names=["id", "doc", "lo", "g", "salt", "s"])
+    strings = [b"" if z else raw[i:j] for i, j, z in zip(x.tolist(), y.tolist(), m.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array((lo[pick] + shift).astype(np.int32)), pa.array(a.gram[k][pick].view(np.int64)), pa.array(np.where(m > 0, -1 - pick % salts, salt).astype(np.int32)), pa.array(strings, pa.binary()), pa.array(m)], names=["id", "doc", "lo", "g", "salt", "s", "m"])
+
+
+def ranks(part: pa.RecordBatch) -> np.ndarray:
+    """The place of each row in the order of documents; rows of one document have the same."""
+    keys = [(i is None, 0 if i is None else i, d) for i, d in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+    number = {k: n for n, k in enumerate(sorted(set(keys)))}
+    return np.array([number[k] for k in keys], np.int64)
+
+
+def repeated_parts(contexts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows whose hash occurs again among all contexts: context, first window, windows."""
+    size = np.array([len(c) for c in contexts])
+    flat = np.frombuffer(b"".join(contexts), np.uint8)
+    windows = size - width + 1
+    own = np.repeat(np.arange(len(contexts)), windows)
+    step = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
+    start = (np.cumsum(size) - size)[own] + step
+    h = HASHER.spans(HASHER.sums(flat), start, start + width)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    again = np.zeros(len(h), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    k = np.flatnonzero(again)
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1] + 1) | (own[k[1:]] != own[k[:-1]])
+    first = np.flatnonzero(new)
+    return own[k[first]], step[k[first]], np.diff(np.append(first, len(k)))
 
 
 def sort_strings(batches: Iterator[pa.RecordBatch], width: int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """(id, doc, lo, g, salt, s), sorted by (g, salt, id, doc, lo): the repeated runs of windows. Strings of one anchor are sorted together."""
+    """(id, doc, lo, g, salt, s, m), sorted by (g, salt, id, doc, lo): the repeated runs of windows.
+
+    Strings of one anchor are sorted together. The windows of a crowded anchor
+    (salt > 0) come in order of place, so each is a repeat if it was met before; only
+    distinct ones are held. Known repeats (salt < 0) pass.
+    """
     held: list[tuple] = []
+    seen: set[bytes] = set()
     size, now, last = 0, None, None
+    id_type = None
+
+    def spans(who: list[tuple], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in who], id_type), pa.array([x[1] for x in who], pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["id", "doc", "a", "b"])
 
     def close() -> pa.RecordBatch:
-        contexts = [x[3] for x in held]
-        n = np.array([len(c) - width + 1 for c in contexts])
-        own, step = repeated_starts(contexts, n, np.arange(len(contexts)), width)
-        by = np.lexsort((step, own))
-        own, step = own[by], step[by]
-        new = np.ones(len(own), bool)
-        new[1:] = (own[1:] != own[:-1]) | (step[1:] != step[:-1] + 1)
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(own)) - 1
-        who = own[begin].tolist() if len(begin) else []
-        lo = np.array([held[k][2] for k in who], np.int64)
-        a, b = (lo + step[begin], lo + step[end] + width) if who else (lo, lo)
-        return pa.RecordBatch.from_arrays([pa.array([held[k][0] for k in who], id_type), pa.array([held[k][1] for k in who], pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["id", "doc", "a", "b"])
+        own, begin, n = repeated_parts([x[3] for x in held], width)
+        parts = [held[k][3][a : a + m + width - 1] for k, a, m in zip(own.tolist(), begin.tolist(), n.tolist(), strict=True)]
+        if not parts:
+            return spans([], own, own)
+        part, step = repeated_starts(parts, n, np.arange(len(parts)), width)
+        by = np.lexsort((step, part))
+        part, step = part[by], step[by]
+        new = np.ones(len(part), bool)
+        new[1:] = (part[1:] != part[:-1]) | (step[1:] != step[:-1] + 1)
+        first = np.flatnonzero(new)
+        end = np.append(first[1:], len(part)) - 1
+        which = own[part[first]]
+        lo = np.array([held[k][2] for k in which.tolist()], np.int64) + begin[part[first]]
+        return spans([held[k] for k in which.tolist()], lo + step[first], lo + step[end[: len(first)]] + width)
 
-    id_type = None
     for batch in batches:
         id_type = batch.column(0).type
-        for i, d, lo, g, salt, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (g, salt) != now and size > limit:
-                yield close()
-                held, size = [], 0
+        out = []
+        for i, d, lo, g, salt, s, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (g, salt) != now:
+                seen = set()
+                if size > limit:
+                    yield close()
+                    held, size = [], 0
             if (g, salt, i, d, lo) == last:
                 continue  # the same document again
             now, last = (g, salt), (g, salt, i, d, lo)
-            held.append((i, d, lo, s))
-            size += len(s)
+            if salt == 0:
+                held.append((i, d, lo, s))
+                size += len(s)
+            elif m or s in seen:
+                out.append((i, d, lo))
+            else:
+                seen.add(s)
+        if out:
+            lo = np.array([x[2] for x in out], np.int64)
+            yield spans(out, lo, lo + width)
     if held:
         yield close()
 

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,9 +171,19 @@ def brute_suffix(rows, width=100):
 
 
 @pytest.mark.parametrize("how", [{}, {"most": 2, "hot": 3}])
-def test_suffix_dedup(spark, how):
+@pytest.mark.parametrize("kind", ["awkward", "passage"])
+def test_suffix_dedup(spark, how, kind):
     rows = documents()
-    got = suffix_dedup.suffix_dedup(frame(spark, rows), carry=["doc_id", "text"], **how).collect()
+    if kind == "passage":
+        # one passage in many texts and several times within a text, at any place; long runs of one letter
+        rng = random.Random(12)
+        passage = "".join(rng.choice("abcd e") for _ in range(230))
+        rows = [(k, "".join(rng.choice("fghi j") for _ in range(rng.randint(0, 90))) + passage[rng.randint(0, 60) :] * rng.randint(1, 3), "en", "s", 1) for k in range(60)]
+        rows += [(100, "é" * 400, "fr", "s", 1), (101, "xy" * 700, "en", "s", 1), (102, passage + "xy" * 60, "en", "s", 1)]
+        rows += rows[:9]
+    df = frame(spark, rows).withColumns({"removed": F.lit("own"), "n_bytes": F.lit("own")})
+    assert suffix_dedup.suffix_dedup(df.limit(3), carry=["doc_id", "removed"]).first().removed_in == "own"
+    got = suffix_dedup.suffix_dedup(df, carry=["doc_id", "text"], **how).collect()
     want = brute_suffix(rows)
     assert len(got) == len(rows)
     for r in got:
@@ -180,6 +191,42 @@ def test_suffix_dedup(spark, how):
     assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
 
 
+def test_first_places_in_any_batches():
+    """Rows cut into batches anywhere give what one batch gives."""
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(5), rng.choice([0, 0, 1]), rng.randrange(3), k, rng.randrange(2)) for k in range(40) for _ in range(rng.randint(1, 2)))
+    names = ["id", "doc", "lo", "n", "g", "sig", "salt"]
+
+    def batch(part):
+        cols = [[r[3] for r in part], [r[3] for r in part], [r[4] for r in part], [5] * len(part), [r[0] for r in part], [r[2] for r in part], [r[1] for r in part]]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    def run(sizes):
+        parts, at = [], 0
+        while at < len(rows):
+            n = rng.choice(sizes)
+            parts.append(batch(rows[at : at + n]))
+            at += n
+        return Counter(tuple(r.values()) for b in suffix_dedup.first_places(iter(parts), 100) for r in b.to_pylist())
+
+    whole = run([1000])
+    assert whole and all(run([1, 2, 3, 7]) == whole for _ in range(20))
+
+
+def test_packed_counts(spark):
+    """Counts of hashes that are reduced before the shuffle equal plain counts."""
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2)
+    h = rng.choice(h, 5000)
+    rows = [b for part in np.array_split(h, 7) for b in suffix_dedup.deal(part, 8)]
+    packed = spark.createDataFrame(pa.Table.from_batches(rows).to_pandas(), suffix_dedup.PACKED)
+    filters = suffix_dedup.gather_filters(packed, 22, 8, (1, 15, 20))
+    known, n = np.unique(h, return_counts=True)
+    for f, least in zip(filters, (1, 15, 20), strict=True):
+        assert f.has(known[n >= least]).all() and not f.has(known[n < least]).any()
+
+
 def test_anchors_of_a_long_text_in_parts():
     rng = random.Random(9)
     raw = np.frombuffer(bytes(rng.randrange(4) + 97 for _ in range(5000)), np.uint8)
