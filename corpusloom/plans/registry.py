@@ -45,5 +45,6 @@ MODULES = (
     "operators.dictionary",
     "operators.wordtypes",
     "operators.coding",
+    "operators.articles",
     "streaming.online",
 )
