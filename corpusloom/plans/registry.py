@@ -46,5 +46,6 @@ MODULES = (
     "operators.wordtypes",
     "operators.coding",
     "operators.articles",
+    "operators.online_models",
     "streaming.online",
 )
