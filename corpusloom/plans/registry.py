@@ -47,5 +47,6 @@ MODULES = (
     "operators.coding",
     "operators.articles",
     "operators.online_models",
+    "sources.sinks",
     "streaming.online",
 )
