@@ -70,6 +70,19 @@ CONTEXTS: dict[str, tuple[str, ...]] = {
     "run_length+char": ("rl", "o1"),
     "codeword": ("na", "o1"),
     "number+char": ("dr", "o1"),
+    "sparse_2": ("l2",),
+    "sparse_1_3": ("l1", "l3"),
+    "sparse_2_3": ("l2", "l3"),
+    "sparse_2_3_4": ("l2", "l3", "l4"),
+    "sparse_3_4": ("l3", "l4"),
+    "masked_letters": ("l1", "l3", "h2"),
+    "char_x_classes": ("l1", "h4"),
+    "delimiter_state": ("o1", "sur"),
+    "word+sentence": ("w0", "sw", "o1"),
+    "content+type": ("ws", "wt", "o1"),
+    "verb+word": ("lv", "w0", "w1"),
+    "space_distance+word": ("ds", "w1"),
+    "run_length+classes": ("rl", "h3"),
     "indirect": ("i1", "o1"),
     "indirect2": ("i2", "o1"),
     "indirect+word": ("i1", "w0"),
@@ -171,6 +184,9 @@ class Features:
         low = self.text.lower() if len(self.text.lower()) == self.n else "".join(c.lower() if c.isascii() else c for c in self.text)
         return names([low[a + 1 : i] for i, a in enumerate(start.tolist())])
 
+    def f_l(self, k: int) -> np.ndarray:
+        return lagged(self.cp, k)
+
     def f_sur(self) -> np.ndarray:
         a = last_before(~self.letter)
         return np.where(a >= 0, self.cp[np.maximum(a, 0)], 0)
@@ -344,6 +360,7 @@ def context_sql(source: str, contexts: dict[str, tuple[str, ...]]) -> str:
     before = "OVER (PARTITION BY id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     column = {
         **{f"o{k}": f"CASE WHEN p > {k} THEN substr(text, p - {k}, {k}) END" for k in ORDERS},
+        **{f"l{k}": f"CASE WHEN p > {k} THEN substr(text, p - {k}, 1) END" for k in range(1, 5)},
         "h2": "CASE WHEN p > 4 THEN substr(m2, p - 4, 4) END",
         "h3": "CASE WHEN p > 4 THEN substr(m3, p - 4, 4) END",
         "h4": "CASE WHEN p > 2 THEN substr(m4, p - 2, 2) END",

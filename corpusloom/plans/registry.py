@@ -47,6 +47,7 @@ MODULES = (
     "operators.coding",
     "operators.articles",
     "operators.online_models",
+    "operators.candidates",
     "sources.sinks",
     "streaming.online",
 )
