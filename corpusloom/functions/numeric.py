@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is worked out once, also where ``fn`` uses it within a lambda for each element."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def total(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
@@ -35,13 +41,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def rms_norm(c: Column, eps: float = 1e-6) -> Column:
-    scale = F.sqrt(total(F.transform(c, lambda x: x * x)) / F.size(c) + eps)
-    return F.transform(c, lambda x: x / scale)
+    return let(c, lambda v: let(F.sqrt(total(F.transform(v, lambda x: x * x)) / F.size(v) + eps), lambda scale: F.transform(v, lambda x: x / scale)))
 
 
 def mean_zero(c: Column) -> Column:
-    mean = total(c) / F.size(c)
-    return F.transform(c, lambda x: x - mean)
+    return let(c, lambda v: let(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean)))
 
 
 def layer_norm(c: Column, eps: float = 1e-6) -> Column:
@@ -49,8 +53,7 @@ def layer_norm(c: Column, eps: float = 1e-6) -> Column:
 
 
 def l2_norm(c: Column, eps: float = 1e-6) -> Column:
-    scale = F.sqrt(total(F.transform(c, lambda x: x * x)) + eps)
-    return F.transform(c, lambda x: x / scale)
+    return let(c, lambda v: let(F.sqrt(total(F.transform(v, lambda x: x * x)) + eps), lambda scale: F.transform(v, lambda x: x / scale)))
 
 
 def relu2(c: Column) -> Column:
@@ -58,10 +61,8 @@ def relu2(c: Column) -> Column:
 
 
 def softmax(c: Column) -> Column:
-    top = F.array_max(c)
-    e = F.transform(c, lambda x: F.exp(x - top))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    shifted = let(c, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return let(shifted, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def softcap(c: Column, cap: float = 15.0) -> Column:
@@ -70,7 +71,7 @@ def softcap(c: Column, cap: float = 15.0) -> Column:
 
 def quantize(c: Column, scale: Column, low: int, high: int) -> Column:
     """Rounded half to even, clamped."""
-    return F.transform(c, lambda x: F.greatest(F.lit(low), F.least(F.lit(high), F.rint(x / scale).cast("int"))))
+    return let(scale, lambda k: F.transform(c, lambda x: F.greatest(F.lit(low), F.least(F.lit(high), F.rint(x / k).cast("int")))))
 
 
 def rope(c: Column, pos: Column, base: float = 10000.0) -> Column:
@@ -102,7 +103,7 @@ def adaptive_bits(counts: Column, alphabet: int) -> Column:
     """Code length of an adaptive add-one model, from the symbol counts alone."""
     n = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
     own = F.aggregate(F.transform(counts, log2_factorial), F.lit(0.0), lambda a, x: a + x)
-    return log2_factorial(n + (alphabet - 1)) - log2_factorial(F.lit(alphabet - 1)) - own
+    return let(n, lambda k: log2_factorial(k + (alphabet - 1))) - log2_factorial(F.lit(alphabet - 1)) - own
 
 
 def learning_rate(fraction: Column, warm: float = 0.05) -> Column:

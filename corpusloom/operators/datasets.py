@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import numeric as N
 from corpusloom.operators.batching import block_fold
 from corpusloom.operators.symbols import char_counts
 from corpusloom.plans.ordered import ordered
@@ -329,6 +330,5 @@ def causal_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of unit length (with an epsilon under the root); their sums."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    v = v.withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x) + 1e-6))
-    return v.select("vec_id", F.round(F.aggregate(F.transform("e", lambda x: x / F.col("norm")), F.lit(0.0), lambda a, x: a + x), 6).alias("unit_sum"))
+    return v.select("vec_id", F.round(N.total(N.l2_norm(F.col("e"))), 6).alias("unit_sum"))
 
