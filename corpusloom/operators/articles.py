@@ -162,7 +162,7 @@ def article_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ordered(table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")), "doc_id", add=F.size("lines"))
     stream = d.select(F.col("before").alias("b"), F.posexplode("lines").alias("i", "line")).select((F.col("b") + F.col("i")).alias("number"), "line")
     # the parser sees numbers and lines alone: the articles opened so far tell which one a line belongs to
-    s = ordered(stream.withColumn("opens", (F.col("line") == "<page>").cast("int")), "number", add=F.col("opens"))
+    s = ordered(stream.withColumn("opens", F.when(F.col("line") == "<page>", 1).otherwise(0)), "number", add=F.col("opens"))
     s = s.withColumn("article", F.col("before") + F.col("opens"))
     found = F.regexp_extract("line", "^<id>([0-9]+)</id>$", 1)
     g = s.groupBy("article").agg(F.min_by(F.when(found != "", found), F.when(found != "", F.col("number"))).cast("bigint").alias("id"), F.min("number").alias("first_line"), F.max(F.when(F.col("line") == "</page>", F.col("number"))).alias("last_line"))

@@ -143,5 +143,5 @@ def payload_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and characters by checkpoints of 65,536 characters of the running total."""
     from corpusloom.plans.ordered import ordered
 
-    d = ordered(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", add=F.col("n_chars"))
-    return d.groupBy(F.floor((F.col("before") + F.col("n_chars")) / 65536).alias("checkpoint")).agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"))
+    d = ordered(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", add=F.col("n_chars")).withColumn("own", F.coalesce("n_chars", F.lit(0)))
+    return d.groupBy(F.floor((F.col("before") + F.col("own")) / 65536).alias("checkpoint")).agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"))

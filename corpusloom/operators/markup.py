@@ -118,9 +118,9 @@ def id_delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "tail_split",
     """
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
-k AS (SELECT doc_id, p, line, max(CASE WHEN regexp_matches(line, '[.!?]$') THEN 0 ELSE p END) OVER (PARTITION BY doc_id) AS last FROM l)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE p > last) AS n_tail FROM k GROUP BY doc_id
+WITH l AS (SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+k AS (SELECT r, doc_id, p, line, max(CASE WHEN regexp_matches(line, '[.!?]$') THEN 0 ELSE p END) OVER (PARTITION BY r) AS last FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE p > last) AS n_tail FROM k GROUP BY r, doc_id
 """,
 )
 def tail_split(spark: SparkSession, sf_dir: str) -> DataFrame:

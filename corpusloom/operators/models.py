@@ -172,7 +172,7 @@ def indirect_context_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "context_distance",
     """
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
+WITH t AS (SELECT row_number() OVER () AS doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
 x AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM t),
 d AS (SELECT p - lag(p) OVER (PARTITION BY doc_id, w ORDER BY p) AS d FROM x)
 SELECT CAST(floor(log2(d)) AS INT) AS log_distance, count(*) AS n FROM d WHERE d IS NOT NULL GROUP BY 1

@@ -133,11 +133,11 @@ def order_k_bits(cp: np.ndarray, k: int, alphabet: int = 256) -> float:
 @query(
     "adaptive_order1_bits",
     """
-WITH ch AS (SELECT doc_id, c, p FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS p FROM documents) WHERE c <> ''),
-x AS (SELECT doc_id, c, lag(c, 1, '') OVER (PARTITION BY doc_id ORDER BY p) AS ctx FROM ch),
-n AS (SELECT doc_id, ctx, c, count(*) AS n FROM x GROUP BY ALL),
-k AS (SELECT doc_id, ctx, lgamma(256 + sum(n)) - lgamma(256) - sum(lgamma(1 + n)) AS nats FROM n GROUP BY ALL)
-SELECT d.doc_id, length(d.text) AS n_chars, round(coalesce(sum(nats), 0) / ln(2), 3) AS bits FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.text
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), ch AS (SELECT r, c, p FROM (SELECT r, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS p FROM d) WHERE c <> ''),
+x AS (SELECT r, c, lag(c, 1, '') OVER (PARTITION BY r ORDER BY p) AS ctx FROM ch),
+n AS (SELECT r, ctx, c, count(*) AS n FROM x GROUP BY ALL),
+k AS (SELECT r, ctx, lgamma(256 + sum(n)) - lgamma(256) - sum(lgamma(1 + n)) AS nats FROM n GROUP BY ALL)
+SELECT d.doc_id, length(d.text) AS n_chars, round(coalesce(sum(nats), 0) / ln(2), 3) AS bits FROM d LEFT JOIN k USING (r) GROUP BY d.r, d.doc_id, d.text
 """,
 )
 def adaptive_order1_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +197,7 @@ CLASS_TABLE = class_table()
 @query(
     "byte_class_stream",
     r"""
-WITH ch AS (SELECT doc_id, lang, c, p FROM (SELECT doc_id, lang, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS p FROM documents) WHERE c <> ''),
+WITH ch AS (SELECT doc_id, lang, c, p FROM (SELECT doc_id, lang, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS p FROM (SELECT row_number() OVER () AS doc_id, lang, text FROM documents)) WHERE c <> ''),
 k AS (SELECT *, CASE WHEN c BETWEEN 'a' AND 'z' THEN 'a' WHEN c BETWEEN 'A' AND 'Z' THEN 'A' WHEN c BETWEEN '0' AND '9' THEN '9'
       WHEN c IN (' ', chr(9), chr(10), chr(13)) THEN '_' WHEN unicode(c) BETWEEN 33 AND 126 THEN '.' ELSE 'x' END AS cls FROM ch),
 r AS (SELECT lang, cls, cls IS DISTINCT FROM lag(cls) OVER (PARTITION BY doc_id ORDER BY p) AS new FROM k)

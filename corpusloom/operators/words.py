@@ -18,7 +18,6 @@ from corpusloom.sources.tables import table
 
 # fixed sizes of the three groups of codes
 ONE, TWO, THREE = 80, 3840, 40960
-DICTIONARY = 4000
 WORDS_SQL = "WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY w), r AS (SELECT w, n, row_number() OVER (ORDER BY n DESC, w) - 1 AS rank FROM w)"
 
 
@@ -73,14 +72,8 @@ def affixes(counts: DataFrame, size: int) -> DataFrame:
     return hit.select(F.col("w").alias("word"), F.when(F.col("m.s") == 1, "suffix").otherwise("prefix").alias("kind"), F.col("m.affix").alias("affix"))
 
 
-@query("affix_match", affix_sql(DICTIONARY))
+@query("affix_match", affix_sql(ONE + TWO + THREE))
 def affix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Affixes in a dictionary of the 4000 most frequent words; ``affix_match_full`` has the whole one."""
-    return affixes(word_counts(spark, sf_dir), DICTIONARY)
-
-
-@query("affix_match_full", affix_sql(ONE + TWO + THREE))
-def affix_match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Affixes in the dictionary of all words that have a code."""
     return affixes(word_counts(spark, sf_dir), ONE + TWO + THREE)
 
@@ -130,7 +123,7 @@ CONTEXTS = {"1": (1,), "2": (2,), "1-2": (1, 2), "1-3": (1, 3), "1-2-3": (1, 2,
 @query(
     "word_context_hits",
     """
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
+WITH t AS (SELECT row_number() OVER () AS doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
 x AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM t),
 l AS (SELECT doc_id, p, w, lag(w, 1) OVER o AS a, lag(w, 2) OVER o AS b, lag(w, 3) OVER o AS c FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
 k AS (SELECT doc_id, p, w, '1' AS context, a AS key FROM l UNION ALL SELECT doc_id, p, w, '2', b FROM l UNION ALL SELECT doc_id, p, w, '1-2', a || ' ' || b FROM l
@@ -161,11 +154,11 @@ def word_context_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "column_above",
     """
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-p AS (SELECT doc_id, line, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS above FROM l),
-c AS (SELECT doc_id, substr(line, k, 1) = substr(above, k, 1) AS hit FROM p, unnest(range(1, least(length(line), length(above)) + 1)) t(k) WHERE above IS NOT NULL),
-t AS (SELECT doc_id, count(*) AS n_known, count(*) FILTER (WHERE hit) AS n_hit FROM c GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_known, 0) AS n_known, coalesce(n_hit, 0) AS n_hit FROM documents d LEFT JOIN t USING (doc_id)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+p AS (SELECT r, line, lag(line) OVER (PARTITION BY r ORDER BY i) AS above FROM l),
+c AS (SELECT r, substr(line, k, 1) = substr(above, k, 1) AS hit FROM p, unnest(range(1, least(length(line), length(above)) + 1)) t(k) WHERE above IS NOT NULL),
+t AS (SELECT r, count(*) AS n_known, count(*) FILTER (WHERE hit) AS n_hit FROM c GROUP BY r)
+SELECT d.doc_id, coalesce(n_known, 0) AS n_known, coalesce(n_hit, 0) AS n_hit FROM d LEFT JOIN t USING (r)
 """,
 )
 def column_above(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ KIND_SQL = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(x) for x in ws)}) THE
 @query(
     "sentence_word_kinds",
     f"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents),
+WITH t AS (SELECT row_number() OVER () AS doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents),
 x AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM t),
 l AS (SELECT w, lag(w) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM x)
 SELECT {KIND_SQL} AS kind, count(*) AS n FROM l GROUP BY 1

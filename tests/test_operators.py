@@ -151,7 +151,7 @@ def test_affixes_use_every_word_with_a_code(spark, tmp_path):
     filler = [f"{name(k)}fill" for k in range(words.ONE + words.TWO + words.THREE - 2)]
     text = " ".join(["holiday holiday holiday holiday", *(f"{x} {x} {x}" for x in filler), "mountain mountain", "xmountain qholidayq preholiday mountains unknownword"])
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.word: (r.kind, r.affix) for r in words.affix_match_full(spark, str(tmp_path)).collect()}
+    got = {r.word: (r.kind, r.affix) for r in words.affix_match(spark, str(tmp_path)).collect()}
     assert got == {"xmountain": ("suffix", "mountain"), "preholiday": ("suffix", "holiday"), "mountains": ("prefix", "mountain")}
     codes = {r.word for r in words.dictionary_codes(spark, str(tmp_path)).collect()}
     assert "mountain" in codes and not codes & set(got)
