@@ -48,6 +48,7 @@ MODULES = (
     "operators.articles",
     "operators.online_models",
     "operators.candidates",
+    "operators.markers",
     "sources.sinks",
     "streaming.online",
 )
