@@ -102,9 +102,8 @@ BRACKET_CONTEXTS: dict[str, tuple[str, ...]] = {
     "bracket+char": ("br", "o1"),
     "bracket+classes": ("br", "h3"),
     "bracket+distance": ("br", "bn"),
-    "bracket+line_first": ("br", "fc"),
     "bracket+class_runs": ("br", "r3"),
-    "bracket+word": ("br", "w0"),
+    "bracket+masked": ("br", "bd", "h2"),
 }
 
 
@@ -361,6 +360,7 @@ def context_sql(source: str, contexts: dict[str, tuple[str, ...]]) -> str:
     column = {
         **{f"o{k}": f"CASE WHEN p > {k} THEN substr(text, p - {k}, {k}) END" for k in ORDERS},
         **{f"l{k}": f"CASE WHEN p > {k} THEN substr(text, p - {k}, 1) END" for k in range(1, 5)},
+        "o1": "c1",
         "h2": "CASE WHEN p > 4 THEN substr(m2, p - 4, 4) END",
         "h3": "CASE WHEN p > 4 THEN substr(m3, p - 4, 4) END",
         "h4": "CASE WHEN p > 2 THEN substr(m4, p - 2, 2) END",
@@ -389,9 +389,25 @@ def context_sql(source: str, contexts: dict[str, tuple[str, ...]]) -> str:
         "up": "CASE WHEN ls > 0 AND pl + p - ls < ls THEN substr(text, pl + p - ls, 1) END",
         "ul": "CASE WHEN ls > 0 AND p - ls > 1 AND pl + p - ls - 1 < ls THEN substr(text, pl + p - ls - 1, 1) END",
         "bd": "depth",
-        "br": "CASE WHEN io > 0 THEN substr(text, io, 1) ELSE '' END",
+        "br": "coalesce(oc, '')",
         "bn": "CASE WHEN io > 0 THEN least(99, p - io) ELSE 0 END",
     }
+    # columns that only some features need
+    last = lambda test: f"coalesce(max(CASE WHEN {test} THEN b.p END) {before}, 0)"
+    count = lambda flag: f"CAST(coalesce(sum(CASE WHEN {flag} THEN 1 ELSE 0 END) {before}, 0) AS BIGINT)"
+    helpers = {
+        "e": (f"{count('ws')} - CASE WHEN coalesce(lag(l) OVER o, false) THEN 1 ELSE 0 END", {"w1", "w2", "w3", "ws", "wt", "lv"}),
+        "nl": (last("NOT l"), {"w0", "sur"}),
+        "rs": (count("rn"), {"r3"}),
+        "cs": (f"max(CASE WHEN cn THEN b.p END) {before}", {"rl"}),
+        "nd": (last("c NOT BETWEEN '0' AND '9'"), {"dr"}),
+        "sp": (last("c = ' '"), {"ds"}),
+        "ss": (last("c IN (chr(10), '.', '!', '?')"), {"sw"}),
+        "na0": (last("unicode(c) < 128"), {"na"}),
+        "f1": ("CASE WHEN c1 IS NOT NULL THEN lag(c) OVER (PARTITION BY b.id, c1 ORDER BY b.p) END", {"i1"}),
+        "f2": ("CASE WHEN c2 IS NOT NULL THEN lag(c) OVER (PARTITION BY b.id, c1, c2 ORDER BY b.p) END", {"i2"}),
+    }
+    needed = ", ".join(f"{sql if users & used else 'NULL'} AS {name}" for name, (sql, users) in helpers.items())
     pick = ", ".join(f"{column[x]} AS {x}" for x in sorted(used))
     keys = " UNION ALL ".join(f"SELECT id, p, c, '{name}' AS context, concat_ws(chr(1), {', '.join(f'CAST({x} AS VARCHAR)' for x in key)}) AS k FROM x WHERE {' AND '.join(f'{x} IS NOT NULL' for x in key)}" for name, key in contexts.items())
     mapped_sql = ", ".join(f"array_to_string(list_transform(s, lambda c: {case_sql(r)}), '') AS m{b}" for b, r in ((2, TWO_BITS), (3, THREE_BITS), (4, FOUR_BITS)))
@@ -401,20 +417,15 @@ t AS (SELECT row_number() OVER () AS id, text, list_filter(string_split(text, ''
 u AS (SELECT id, text, s, words, {mapped_sql}, array_to_string(list_transform(s, lambda c: CASE WHEN {letter} THEN '1' ELSE '0' END), '') AS ml FROM t),
 ch AS (SELECT id, unnest(s) AS c, generate_subscripts(s, 1) AS p FROM u),
 a AS (SELECT id, c, p, {letter} AS l, {case_sql(THREE_BITS)} AS k3, CASE WHEN c IN ('<', '(', '[', '{{') THEN 1 WHEN c IN ('>', ')', ']', '}}') THEN -1 ELSE 0 END AS d FROM ch),
-b AS (SELECT *, l AND NOT coalesce(lag(l) OVER o, false) AS ws, coalesce(k3 <> lag(k3) OVER o, true) AS rn, coalesce(c <> lag(c) OVER o, true) AS cn, coalesce(sum(d) {before}, 0) AS depth,
+b AS MATERIALIZED (SELECT *, l AND NOT coalesce(lag(l) OVER o, false) AS ws, coalesce(k3 <> lag(k3) OVER o, true) AS rn, coalesce(c <> lag(c) OVER o, true) AS cn, coalesce(sum(d) {before}, 0) AS depth,
       lag(c, 1) OVER o AS c1, lag(c, 2) OVER o AS c2, coalesce(max(CASE WHEN c = chr(10) THEN p END) {before}, 0) AS ls FROM a WINDOW o AS (PARTITION BY id ORDER BY p)),
 z AS (SELECT id, string_agg(k3, '' ORDER BY p) AS runs FROM b WHERE rn GROUP BY id),
 i AS (SELECT id, p, lead_depth, max(CASE WHEN opener THEN q END) OVER (PARTITION BY id, lead_depth ORDER BY p, opener ROWS UNBOUNDED PRECEDING) AS io, opener
       FROM (SELECT id, p, depth AS lead_depth, false AS opener, p AS q FROM b UNION ALL SELECT id, p, depth + 1, true, p FROM b WHERE d = 1)),
-y AS (SELECT b.id, b.p, b.c, b.depth, b.ls, CAST(coalesce(sum(CASE WHEN ws THEN 1 ELSE 0 END) {before}, 0) AS BIGINT) - CASE WHEN coalesce(lag(l) OVER o, false) THEN 1 ELSE 0 END AS e,
-      coalesce(max(CASE WHEN NOT l THEN b.p END) {before}, 0) AS nl, CAST(coalesce(sum(CASE WHEN rn THEN 1 ELSE 0 END) {before}, 0) AS BIGINT) AS rs, max(CASE WHEN cn THEN b.p END) {before} AS cs,
-      coalesce(max(CASE WHEN c NOT BETWEEN '0' AND '9' THEN b.p END) {before}, 0) AS nd, coalesce(max(CASE WHEN c = ' ' THEN b.p END) {before}, 0) AS sp,
-      coalesce(max(CASE WHEN c IN (chr(10), '.', '!', '?') THEN b.p END) {before}, 0) AS ss, coalesce(max(CASE WHEN unicode(c) < 128 THEN b.p END) {before}, 0) AS na0,
-      CASE WHEN c1 IS NOT NULL THEN lag(c) OVER (PARTITION BY b.id, c1 ORDER BY b.p) END AS f1, CASE WHEN c2 IS NOT NULL THEN lag(c) OVER (PARTITION BY b.id, c1, c2 ORDER BY b.p) END AS f2
-      FROM b WINDOW o AS (PARTITION BY b.id ORDER BY b.p)),
-v AS (SELECT y.*, u.text, u.words, u.m2, u.m3, u.m4, u.ml, z.runs, coalesce(i.io, 0) AS io, coalesce(g.ls, 0) AS pl FROM y JOIN u USING (id) JOIN z USING (id) JOIN i ON i.id = y.id AND i.p = y.p AND NOT i.opener
-      LEFT JOIN y g ON g.id = y.id AND g.p = y.ls),
-x AS (SELECT id, p, c, {pick} FROM v),
+y AS MATERIALIZED (SELECT b.id, b.p, b.c, b.c1, b.depth, b.ls, {needed} FROM b WINDOW o AS (PARTITION BY b.id ORDER BY b.p)),
+v AS (SELECT y.*, u.text, u.words, u.m2, u.m3, u.m4, u.ml, z.runs, coalesce(i.io, 0) AS io, coalesce(g.ls, 0) AS pl, {'q.c' if 'br' in used else 'NULL'} AS oc FROM y JOIN u USING (id) JOIN z USING (id) JOIN i ON i.id = y.id AND i.p = y.p AND NOT i.opener
+      LEFT JOIN y g ON g.id = y.id AND g.p = y.ls {'LEFT JOIN y q ON q.id = y.id AND q.p = i.io' if 'br' in used else ''}),
+x AS MATERIALIZED (SELECT id, p, c, {pick} FROM v),
 k AS ({keys}),
 h AS (SELECT context, c, lag(c) OVER (PARTITION BY id, context, k ORDER BY p) AS guess FROM k)
 SELECT context, count(guess) AS n_predicted, count(*) FILTER (WHERE guess = c) AS n_hit FROM h GROUP BY context HAVING count(guess) > 0
