@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, pii, quality, queries, toxicity
-from corpusloom.llm.common import learn_rows
+from corpusloom.llm.common import bounded_sample, carried, join_skewed, learn_rows
 from tests.llm.fixtures import documents, frame
 
 SMALL = "/root/testdata/sf0.01"
@@ -96,6 +96,36 @@ def test_models_on_awkward_rows(spark, odd):
     assert len(rows) == n and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_clashing_and_repeated_rows(spark, odd):
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 40)] * 2, "doc_id long, quality int, toxic int")
+    got = quality.score_quality(odd, quality.train(odd, labels, learn_rows("doc_id", 3, 1)), carry=["doc_id", "score"]).collect()
+    assert all(r.score_in == "clash" and 0 <= r.score <= 1 for r in got)
+    got = langid.identify(odd, langid.train(odd, learn_rows("doc_id", 5, 0)), carry=["doc_id", "score"]).collect()
+    assert all(r.score_in == "clash" for r in got)
+    got = toxicity.score_toxicity(odd, toxicity.learn_lexicon(odd, labels, learn_rows("doc_id", 4, 2)), carry=["doc_id", "score"]).collect()
+    assert all(r.score_in == "clash" for r in got) and len(got) == len(documents())
+    twice = [r.score for r in got if r.doc_id == 4]
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_samples_and_names(spark):
+    df = spark.createDataFrame([(k % 3000, "a" if k < 8000 else "b") for k in range(9000)], "i long, g string")
+    got = bounded_sample(df, "g", 500).collect()
+    n = {g: sum(r.g == g for r in got) for g in "ab"}
+    assert len(set(got)) == len(got) and 100 < n["a"] < 300 and 400 < n["b"] < 600
+    assert bounded_sample(df.limit(0), "g", 5).count() == 0
+    row = spark.createDataFrame([(1, 2, 3)], "x int, y int, y_in int").select(F.struct("x", "y", "y_in").alias("r"))
+    assert row.select(*carried("r", ["x", "y", "y_in"], ("y", "z"))).columns == ["x", "y_in_in", "y_in"]
+
+
+def test_join_skewed_equals_a_plain_join(spark):
+    rows = spark.createDataFrame([(0 if k < 500 else k, k) for k in range(900)], "u long, v long")
+    keyed = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    want = sorted((r.u, r.v, r.m) for r in rows.join(keyed, "u").collect())
+    for total in (900, 9_000_000):
+        assert sorted((r.u, r.v, r.m) for r in join_skewed(rows, keyed, ["u"], "c", total).collect()) == want
+
+
 def test_models_on_empty_tables(spark):
     none = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
