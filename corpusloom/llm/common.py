@@ -122,12 +122,17 @@ def one_text(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataF
 def join_skewed(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join with ``keyed``, which has one row per key and in ``count`` the rows of it; ``total`` is their sum.
 
-    Keys of more than total / (4 x partitions) rows are broadcast, and there are fewer
-    than 4 x partitions of them; the others are shuffled.
+    Keys of more than total / (4 x partitions) rows come to the driver (there are fewer
+    than 4 x partitions of them) and are broadcast; the others are shuffled. Without
+    such keys it is a plain join.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     limit = max(64, total // (4 * parts))
-    hot = F.broadcast(keyed.filter(F.col(count) > limit))
+    hot = keyed.filter(F.col(count) > limit).collect()
+    if not hot:
+        return rows.join(keyed, keys)
+    hot = F.broadcast(spark.createDataFrame(hot, keyed.schema))
     cold = keyed.filter(F.col(count) <= limit)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
