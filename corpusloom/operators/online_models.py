@@ -186,7 +186,9 @@ def ppm_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def bits(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: round(Ppm(4).bits((t or "").encode("utf-8", "surrogatepass")), 3))
+        # a text that comes again within a batch is worked out once
+        once = {t: round(Ppm(4).bits((t or "").encode("utf-8", "surrogatepass")), 3) for t in s.unique()}
+        return s.map(lambda t: once[t])
 
     c = table(spark, sf_dir, "conversations").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return c.select("conv_id", "turn", F.octet_length("text").alias("n_bytes"), bits("text").alias("bits"))

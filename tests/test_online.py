@@ -157,3 +157,17 @@ def test_attention_sees_its_window_only():
     assert np.allclose(A.causal_convolution(x, taps), x / (1 + np.exp(-x)))
     b = {"q": w[0], "k": w[1], "v": w[2], "up": rng.normal(size=(4, 8)), "down": np.zeros((8, 4))}
     assert np.allclose(A.block(x, b, 3, 1.0, 1.0), x + A.attention(A.rms(x), *w, 3))
+
+
+@pytest.mark.parametrize("options", [{}, {"most": 50}, {"order": 0}, {"order": 3, "limit": 5, "most": 40}])
+def test_ppm_code_length_is_that_of_the_distributions(options):
+    rng = random.Random(8)
+    text = b"the cat sat on the mat. " * 8 + bytes(range(256)) + bytes(rng.choice(b"abc") for _ in range(300))
+    fast, slow = Ppm(**options), Ppm(**options)
+    fast.predict = None  # the whole distribution isn't asked for
+    want = 0.0
+    for b in text:
+        want -= np.log2(slow.predict()[b])
+        slow.learn(b)
+    assert abs(fast.bits(text[:100]) + fast.bits(text[100:]) - want) < 1e-6
+    assert (fast.contexts, fast.escape, fast.past) == (slow.contexts, slow.escape, slow.past)
