@@ -73,3 +73,17 @@ def test_headers_and_archives(tmp_path):
         C.split_archive(b"x" + whole)
     with pytest.raises(FileNotFoundError):
         C.require_files(str(tmp_path))
+
+
+def test_documents_side_by_side_have_the_codes_of_each_alone():
+    from corpusloom.operators import codec
+
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"abc \xc3\xa9" if rng.random() < 0.7 else bytes(range(256))) for _ in range(rng.choice([0, 1, 2, 90, 400]))) for _ in range(70)] + [b"", b"\0" * 3000]
+    want = [codec.encode(t) for t in texts]
+    for lanes, few in ((1024, 12), (20, 3), (5, 0)):  # texts wait for a lane, and the last ones go on alone
+        codec.LANES, codec.FEW = lanes, few
+        assert codec.encode_many(texts) == want
+        assert codec.decode_many(want, [len(t) for t in texts]) == texts
+    codec.LANES, codec.FEW = 1024, 12
+    assert codec.encode_many([]) == codec.decode_many([], []) == []
