@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from corpusloom.operators.symbols import char_counts
 from corpusloom.operators.words import ONE, THREE, TWO, WORDS_SQL, affixes, ranked, word_counts
 from corpusloom.plans.registry import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import dealt, table
 
 #: Least letters of an affix.
 AFFIX = 7
 ESCAPE, CAPITAL, CAPITALS = 0x1B, 0x1C, 0x1D
 TOKEN = re.compile(rb"[A-Z]?[a-z]+|[A-Z]{2,}(?![a-z])|[^A-Za-z]|[A-Z]")
 CODED = re.compile(rb"\x1b(.)|([\x1c\x1d]?)((?:[a-z]|[\x80-\xcf]|[\xd0-\xff][\x80-\xcf]|[\xd0-\xff][\xf0-\xff][\x80-\xcf])+)|(.)", re.S)
+#: Whole tokens of a code, without groups.
+CODED_TOKEN = re.compile(rb"\x1b.|[\x1c\x1d]?(?:[a-z]|[\x80-\xcf]|[\xd0-\xff][\x80-\xcf]|[\xd0-\xff][\xf0-\xff][\x80-\xcf])+|.", re.S)
 PART = re.compile(rb"[a-z]+|[\x80-\xcf]|[\xd0-\xff][\x80-\xcf]|[\xd0-\xff][\xf0-\xff][\x80-\xcf]")
 
 
@@ -56,6 +58,26 @@ def rank_of(code: bytes) -> int:
     return ONE + TWO + 80 * (16 * (code[0] - 0xD0) + code[1] - 0xF0) + code[2] - 0x80
 
 
+#: Tokens whose codes are kept, and the longest of them.
+KEPT, KEPT_LENGTH = 1 << 17, 64
+
+
+class Known(dict):
+    """What a function makes of tokens, worked out when first asked for; full, it begins anew."""
+
+    def __init__(self, make: Callable[[bytes], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, token: bytes) -> bytes:
+        out = self.make(token)
+        if len(token) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.clear()
+            self[token] = out
+        return out
+
+
 @dataclass
 class Dictionary:
     """Words by rank."""
@@ -66,6 +88,7 @@ class Dictionary:
 
     def __post_init__(self) -> None:
         self.rank = {w: k for k, w in enumerate(self.words)}
+        self.codes, self.texts = Known(self.encode_token), Known(self.decode_token)
 
     def word(self, w: bytes) -> bytes:
         """The code of a lower-case word."""
@@ -87,32 +110,26 @@ class Dictionary:
                 return code_of(self.rank[w[:k]]) + w[k:]
         return w
 
+    def encode_token(self, t: bytes) -> bytes:
+        first = t[0]
+        if 97 <= first <= 122:
+            return self.word(t)
+        if len(t) > 1:
+            return bytes([CAPITAL if 97 <= t[1] <= 122 else CAPITALS]) + self.word(t.lower())
+        return bytes([ESCAPE, first]) if first >= 0x80 or first in (ESCAPE, CAPITAL, CAPITALS) else t
+
+    def decode_token(self, t: bytes) -> bytes:
+        escaped, flag, word, plain = CODED.match(t).groups()
+        if not word:
+            return escaped or plain
+        w = b"".join(p if p[0] < 0x80 else self.words[rank_of(p)] for p in PART.findall(word))
+        return w if not flag else w.upper() if flag[0] == CAPITALS else w[:1].upper() + w[1:]
+
     def encode(self, raw: bytes) -> bytes:
-        out = bytearray()
-        for m in TOKEN.finditer(raw):
-            t = m.group()
-            first = t[0]
-            if 97 <= first <= 122:
-                out += self.word(t)
-            elif len(t) > 1:
-                out.append(CAPITAL if 97 <= t[1] <= 122 else CAPITALS)
-                out += self.word(t.lower())
-            elif first >= 0x80 or first in (ESCAPE, CAPITAL, CAPITALS):
-                out += bytes([ESCAPE, first])
-            else:
-                out.append(first)
-        return bytes(out)
+        return b"".join(map(self.codes.__getitem__, TOKEN.findall(raw)))
 
     def decode(self, code: bytes) -> bytes:
-        out = bytearray()
-        for m in CODED.finditer(code):
-            escaped, flag, word, plain = m.groups()
-            if word:
-                w = b"".join(p if p[0] < 0x80 else self.words[rank_of(p)] for p in PART.findall(word))
-                out += w if not flag else w.upper() if flag[0] == CAPITALS else w[:1].upper() + w[1:]
-            else:
-                out += escaped or plain
-        return bytes(out)
+        return b"".join(map(self.texts.__getitem__, CODED_TOKEN.findall(code)))
 
 
 def is_text(raw: bytes) -> np.ndarray:
@@ -164,8 +181,8 @@ def blocks(raw: bytes) -> list[tuple[bool, int, int]]:
 SAVES = 50
 
 
-def encode_blocks(raw: bytes, d: Dictionary) -> list[tuple[int, int, bytes]]:
-    """(kind, length of the payload, payload): 7 for a text block by the dictionary, 1 for one as it is, 0 for other bytes. A segment of over 95 % text is one block."""
+def encode_blocks(raw: bytes, d: Dictionary, known: bytes | None = None) -> list[tuple[int, int, bytes]]:
+    """``known``: the code of the whole, where it's there. (kind, length of the payload, payload): 7 for a text block by the dictionary, 1 for one as it is, 0 for other bytes. A segment of over 95 % text is one block."""
     parts = blocks(raw)
     text = sum(b - a for t, a, b in parts if t)
     if raw and text > 0.95 * len(raw):
@@ -173,7 +190,7 @@ def encode_blocks(raw: bytes, d: Dictionary) -> list[tuple[int, int, bytes]]:
     out = []
     for t, a, b in parts:
         plain = raw[a:b]
-        coded = d.encode(plain) if t else plain
+        coded = plain if not t else known if known is not None and b - a == len(raw) else d.encode(plain)
         kind = 0 if not t else 7 if len(coded) <= len(plain) - SAVES else 1
         out.append((kind, len(coded) if kind == 7 else len(plain), coded if kind == 7 else plain))
     return out
@@ -197,11 +214,17 @@ def dictionary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = Dictionary(known.value)
         for batch in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            ok = [d.decode(d.encode(x)) == x for x in raw]
-            whole = [decode_blocks(encode_blocks(x, d), d) == x for x in raw]
+            ok, whole = [], []
+            for x in raw:
+                code = d.encode(x)
+                back = d.decode(code)
+                parts = encode_blocks(x, d, code)
+                ok.append(back == x)
+                # a text that is one block has the code that was just decoded
+                whole.append((back if len(parts) == 1 and parts[0] == (7, len(code), code) else decode_blocks(parts, d)) == x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(ok), pa.array(whole)], names=["doc_id", "raw_bytes", "ok", "blocks_ok"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, raw_bytes bigint, ok boolean, blocks_ok boolean")
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(run, "doc_id bigint, raw_bytes bigint, ok boolean, blocks_ok boolean")
 
 
 @query("dictionary_blocks")
@@ -218,7 +241,7 @@ def dictionary_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     rows.append((i, k, kind, n))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["doc_id", "block", "kind", "n_bytes"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, block int, kind int, n_bytes bigint")
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(run, "doc_id bigint, block int, kind int, n_bytes bigint")
 
 
 SIZE_SQL = "CASE WHEN rank < 80 THEN 1 WHEN rank < 3920 THEN 2 ELSE 3 END"

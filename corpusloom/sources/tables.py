@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt anew to a few tasks a core: a file of many texts may be one scan task."""
+    sc = df.sparkSession.sparkContext
+    return df.repartition(max(4 * sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def read_lines(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
     """A text file as (line) rows; give an ordinal column of your own where order matters."""
     return spark.read.option("lineSep", separator).text(path).withColumnRenamed("value", "line")

@@ -74,3 +74,18 @@ def test_blocks_equal_a_walk():
         assert D.blocks(raw) == walk(raw)
         d = D.Dictionary(WORDS)
         assert D.decode_blocks(D.encode_blocks(raw, d), d) == raw
+
+
+def test_tokens_are_worked_out_once_and_kept_within_bounds(monkeypatch):
+    monkeypatch.setattr(D, "KEPT", 5)
+    d = D.Dictionary(WORDS)
+    made = []
+    find = d.find
+    d.find = lambda w: made.append(w) or find(w)
+    raw = b"misinformation " * 40 + b"y" * 500 + b" \x1b\n\xff \xd0\xf0"
+    assert d.decode(d.encode(raw)) == raw and made.count(b"misinformation") == 1
+    raw = b" ".join(WORDS[6:200])
+    assert d.decode(d.encode(raw)) == raw and len(d.codes) <= 5 and len(d.texts) <= 5
+    code = d.encode(raw)
+    d.encode = None  # the whole is one block: its code is known
+    assert D.encode_blocks(raw, d, code) == [(7, len(code), code)]
