@@ -130,11 +130,11 @@ def header_and_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents), n AS (SELECT *, row_number() OVER (ORDER BY doc_id, p) - 1 AS number FROM l)"
 
 
-def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, p (from 1 in the document), line, number (from 0 over all documents)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    d = ordered(d, "doc_id", add=F.size("lines"))
-    return d.select("doc_id", "before", F.posexplode("lines").alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("p"), "line", (F.col("before") + F.col("i")).alias("number"))
+def numbered_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, p (from 1 in the document), n_chars of the line, number (from 0 over all documents). Lines are put in order by their lengths alone."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.length).alias("sizes"))
+    d = ordered(d, "doc_id", add=F.size("sizes"))
+    return d.select("doc_id", "before", F.posexplode("sizes").alias("i", "n_chars")).select("doc_id", (F.col("i") + 1).alias("p"), "n_chars", (F.col("before") + F.col("i")).alias("number"))
 
 
 @query(
@@ -143,10 +143,10 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines by their number: the first 29, the last 100, and what is between. Numbers tell where each part goes back."""
-    n = numbered_lines(spark, sf_dir)
+    n = numbered_lengths(spark, sf_dir)
     total = n.agg(F.max("number").alias("top"))  # one row
     part = F.when(F.col("number") < 29, "intro").when(F.col("number") >= F.col("top") - 99, "coda").otherwise("main")
-    return n.crossJoin(total).groupBy(part.alias("part")).agg(F.count("*").alias("n_lines"), F.min("number").alias("first"), F.max("number").alias("last"), F.sum(F.length("line")).alias("n_chars"))
+    return n.crossJoin(total).groupBy(part.alias("part")).agg(F.count("*").alias("n_lines"), F.min("number").alias("first"), F.max("number").alias("last"), F.sum("n_chars").alias("n_chars"))
 
 
 @query(
@@ -158,13 +158,20 @@ SELECT doc_id AS id, CAST(sum(n) OVER w - n AS BIGINT) AS first_line, CAST(sum(n
 )
 def article_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a stream of articles (a line that opens one, its id, its text, a line that closes it) parsed back into (id, first line, last line)."""
-    lines = F.concat(F.array(F.lit("<page>"), F.concat(F.lit("<id>"), F.col("doc_id").cast("string"), F.lit("</id>"))), F.split(F.coalesce("text", F.lit("")), "\n"), F.array(F.lit("</page>")))
-    d = ordered(table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")), "doc_id", add=F.size("lines"))
-    stream = d.select(F.col("before").alias("b"), F.posexplode("lines").alias("i", "line")).select((F.col("b") + F.col("i")).alias("number"), "line")
+    marks = "^(<page>|</page>|<id>.*</id>)$"
+    own = F.split(F.coalesce("text", F.lit("")), "\n")
+    # a text line that looks like the stream's own is marked, so that the parser takes it for text
+    own = F.transform(own, lambda x: F.when(x.rlike(marks), F.concat(F.lit(MARK), x)).otherwise(x))
+    lines = F.concat(F.array(F.lit("<page>"), F.concat(F.lit("<id>"), F.col("doc_id").cast("string"), F.lit("</id>"))), own, F.array(F.lit("</page>")))
+    # lines that tell the parser nothing are counted, but neither sorted nor written
+    telling = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x.line.rlike(marks))
+    d = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).select("doc_id", F.size("lines").alias("n"), telling.alias("told"))
+    d = ordered(d, "doc_id", add=F.col("n"))
+    stream = d.select(F.col("before").alias("b"), F.inline("told")).select((F.col("b") + F.col("i")).alias("number"), "line")
     # the parser sees numbers and lines alone: the articles opened so far tell which one a line belongs to
     s = ordered(stream.withColumn("opens", F.when(F.col("line") == "<page>", 1).otherwise(0)), "number", add=F.col("opens"))
     s = s.withColumn("article", F.col("before") + F.col("opens"))
-    found = F.regexp_extract("line", "^<id>([0-9]+)</id>$", 1)
+    found = F.regexp_extract("line", "^<id>(-?[0-9]+)</id>$", 1)
     g = s.groupBy("article").agg(F.min_by(F.when(found != "", found), F.when(found != "", F.col("number"))).cast("bigint").alias("id"), F.min("number").alias("first_line"), F.max(F.when(F.col("line") == "</page>", F.col("number"))).alias("last_line"))
     return g.select("id", "first_line", "last_line")
 
