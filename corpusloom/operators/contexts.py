@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.matching import gram_ids, previous
 from corpusloom.operators.symbols import code_points
 from corpusloom.plans.registry import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import dealt, table
 
 #: Coarse and finer classes of characters, in the order of the tests.
 TWO_BITS = (("l", r"[a-z]"), ("u", r"[A-Z]"), ("d", r"[0-9]"))
@@ -326,18 +326,71 @@ def hits(f: Features, key: tuple[str, ...]) -> tuple[int, int]:
     return int(said.sum()), int((f.cp[at[said]] == f.cp[at[prev[said]]]).sum())
 
 
+#: Characters of texts whose features are put side by side.
+POOL = 1 << 16
+#: Odd multipliers of a hash.
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+
+
+def pooled_hits(fs: list[Features], contexts: dict[str, tuple[str, ...]], by_hash: bool = True) -> dict[str, tuple[int, int]]:
+    """``hits`` of every context, summed over the texts, which are sorted together.
+
+    Places come together by a hash of text and features. Neighbours are compared in
+    full; should they differ anywhere, the context is counted text by text.
+    """
+    cp = np.concatenate([f.cp for f in fs])
+    text = np.repeat(np.arange(len(fs)), [f.n for f in fs])
+    made = {name: np.concatenate([f[name] for f in fs]) for name in {x for key in contexts.values() for x in key}}
+    spare = np.uint64(len(cp).bit_length())
+    low = (np.uint64(1) << spare) - np.uint64(1)
+    out = {}
+    for name, key in contexts.items():
+        ok = made[key[0]] >= 0
+        for x in key[1:]:
+            ok &= made[x] >= 0
+        at = np.flatnonzero(ok)
+        h = text[at].astype(np.uint64) * MIX[0]
+        for x in key:
+            h = (h ^ made[x][at].astype(np.uint64)) * MIX[0]
+            h ^= h >> np.uint64(29)
+            h *= MIX[1]
+        h = h ^ (h >> np.uint64(32)) if by_hash else h * np.uint64(0)
+        # the place in the lowest bits: a sort of numbers keeps the order of places
+        line = np.sort(h & ~low | at.astype(np.uint64))
+        place = (line & low).astype(np.int64)
+        same = np.flatnonzero((line[1:] ^ line[:-1]) >> spare == 0)
+        a, b = place[same], place[same + 1]
+        if all((x[a] == x[b]).all() for x in (text, *(made[k] for k in key))):
+            out[name] = len(same), int((cp[a] == cp[b]).sum())
+        else:
+            each = [hits(f, key) for f in fs]
+            out[name] = sum(x[0] for x in each), sum(x[1] for x in each)
+    return out
+
+
+def pools(texts: list[str]) -> Iterator[list[Features]]:
+    own, size = [], 0
+    for t in texts:
+        own.append(Features(t))
+        size += len(t)
+        if size >= POOL:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
 def context_hits(docs: DataFrame, text_col: str, contexts: dict[str, tuple[str, ...]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = {name: [0, 0] for name in contexts}
-            for t in batch.column(0).to_pylist():
-                f = Features(t)
-                for name, key in contexts.items():
-                    for k, x in enumerate(hits(f, key)):
+            for fs in pools(batch.column(0).to_pylist()):
+                for name, got in pooled_hits(fs, contexts).items():
+                    for k, x in enumerate(got):
                         total[name][k] += x
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in (0, 1))], names=["context", "n", "hit"])
 
-    src = docs.select(text_col).filter(F.col(text_col) != "")
+    src = dealt(docs.select(text_col).filter(F.col(text_col) != ""))
     got = src.mapInArrow(run, "context string, n bigint, hit bigint")
     return got.groupBy("context").agg(F.sum("n").alias("n_predicted"), F.sum("hit").alias("n_hit")).filter("n_predicted > 0")
 
