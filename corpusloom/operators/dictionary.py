@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.known import Known
 from corpusloom.operators.symbols import char_counts
 from corpusloom.operators.words import ONE, THREE, TWO, WORDS_SQL, affixes, ranked, word_counts
 from corpusloom.plans.registry import query
@@ -58,26 +59,6 @@ def rank_of(code: bytes) -> int:
     return ONE + TWO + 80 * (16 * (code[0] - 0xD0) + code[1] - 0xF0) + code[2] - 0x80
 
 
-#: Tokens whose codes are kept, and the longest of them.
-KEPT, KEPT_LENGTH = 1 << 17, 64
-
-
-class Known(dict):
-    """What a function makes of tokens, worked out when first asked for; full, it begins anew."""
-
-    def __init__(self, make: Callable[[bytes], bytes]) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, token: bytes) -> bytes:
-        out = self.make(token)
-        if len(token) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
-                self.clear()
-            self[token] = out
-        return out
-
-
 @dataclass
 class Dictionary:
     """Words by rank."""

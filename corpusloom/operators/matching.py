@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.known import Known
 from corpusloom.operators.symbols import code_points
 from corpusloom.plans.registry import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import dealt, table
 
 GRAM = 8
 
@@ -164,42 +166,72 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined, compared in full. Repeated document ids are counted together.
     """
     words = lambda name, key: table(spark, sf_dir, name).select(F.col(key).alias("k"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("w")).filter(F.size("w") >= GRAM)
-    grams = words("benchmark", "item_id").mapInArrow(hashed_grams(None), "k bigint, n bigint, g array<string>, h array<bigint>")
+    grams = words("benchmark", "item_id").mapInArrow(hashed_grams, "k bigint, n bigint, g array<string>, h array<bigint>")
     grams = grams.select(F.explode(F.arrays_zip("g", "h")).alias("x")).select("x.g", "x.h").distinct()
     words_of_filter = grams.selectExpr(f"pmod(h, {CONTAINED_BITS}) AS s").groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 AS int))")).alias("b"))
     bits = np.zeros(CONTAINED_BITS // 64, np.int64)  # however large the benchmark
     for r in words_of_filter.toLocalIterator():
         bits[r.w] = r.b
-    d = words("documents", "doc_id").mapInArrow(hashed_grams(spark.sparkContext.broadcast(bits)), "doc_id bigint, n bigint, g array<string>, h array<bigint>")
-    total = d.groupBy("doc_id").agg(F.sum("n").alias("n_grams"))
-    hit = d.select("doc_id", F.explode("g").alias("g")).join(grams.select("g"), "g").groupBy("doc_id").agg(F.count("*").alias("k")).withColumnRenamed("doc_id", "d")
-    return total.join(hit, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "n_grams", F.coalesce("k", F.lit(0)).alias("n_contained"))
+    # documents are read once: a row for each tells its number of grams, further rows the grams to compare
+    low = dealt(table(spark, sf_dir, "documents").select("doc_id", F.encode(F.lower("text"), "utf-8").alias("t")))
+    d = low.mapInArrow(possible_grams(spark.sparkContext.broadcast(bits)), "doc_id bigint, n bigint, g string")
+    # a row without a gram gets a key of its own that no gram has, so that such rows don't meet in one task
+    d = d.withColumn("g", F.coalesce("g", F.concat(F.lit("#"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    both = d.join(grams.select("g", F.lit(1).alias("k")).distinct(), "g", "left")
+    return both.groupBy("doc_id").agg(F.sum("n").alias("n_grams"), F.count("k").alias("n_contained"))
 
 
-def hashed_grams(known):  # noqa: ANN001, ANN201
-    """A mapInArrow function over (id, words): id, the number of grams, those that the filter lets through (all without one) and their hashes."""
-    powers = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(GRAM)]
+POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(GRAM)], np.uint64)
+
+
+def gram_hashes(h: np.ndarray) -> np.ndarray:
+    """Hashes of the grams of words of these hashes."""
+    n = len(h) - GRAM + 1
+    g = sum(h[k : k + n] * POWERS[k] for k in range(GRAM))
+    return (g ^ (g >> np.uint64(29))).view(np.int64)
+
+
+WORD_BYTES = re.compile(rb"[a-z0-9]+")
+
+
+def possible_grams(known):  # noqa: ANN001, ANN201
+    """A mapInArrow function over (id, lower-cased bytes): a row (id, number of grams, null), and (id, 0, gram) for each that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crc = Known(zlib.crc32)
         for batch in batches:
-            count, texts, hashes = [], [], []
-            for w in batch.column(1).to_pylist():
-                h = np.array([zlib.crc32(x.encode()) for x in w], np.uint64)
+            ids, counts, texts = [], [], []
+            for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w = WORD_BYTES.findall(t or b"")
                 n = len(w) - GRAM + 1
-                g = sum(h[k : k + n] * powers[k] for k in range(GRAM))
-                g = (g ^ (g >> np.uint64(29))).view(np.int64)
-                at = np.arange(n)
-                if known is not None:
-                    s = np.mod(g, CONTAINED_BITS)
-                    at = np.flatnonzero((known.value[s >> 6] >> (s & 63)) & 1)
-                count.append(n)
-                texts.append([" ".join(w[i : i + GRAM]) for i in at.tolist()])
-                hashes.append(g[at])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id" if known is not None else "k", "n", "g", "h"])
+                if n < 1:
+                    continue
+                ids.append(i)
+                counts.append(n)
+                texts.append(None)
+                g = gram_hashes(np.fromiter(map(crc.__getitem__, w), np.uint64, len(w)))
+                s = np.mod(g, CONTAINED_BITS)
+                at = np.flatnonzero((known.value[s >> 6] >> (s & 63)) & 1).tolist()
+                ids += [i] * len(at)
+                counts += [0] * len(at)
+                texts += [b" ".join(w[k : k + GRAM]).decode() for k in at]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n", "g"])
 
     return run
 
 
+def hashed_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words) to (k, n, g, h): id, the number of grams, all of them and their hashes."""
+    for batch in batches:
+        count, texts, hashes = [], [], []
+        for w in batch.column(1).to_pylist():
+            g = gram_hashes(np.array([zlib.crc32(x.encode()) for x in w], np.uint64))
+            count.append(len(g))
+            texts.append([" ".join(w[i : i + GRAM]) for i in range(len(g))])
+            hashes.append(g)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=["k", "n", "g", "h"])
+
+
 #: Bits of the filter over the benchmark's grams.
 CONTAINED_BITS = 1 << 22
 

@@ -77,7 +77,7 @@ def test_blocks_equal_a_walk():
 
 
 def test_tokens_are_worked_out_once_and_kept_within_bounds(monkeypatch):
-    monkeypatch.setattr(D, "KEPT", 5)
+    monkeypatch.setattr("corpusloom.functions.known.KEPT", 5)
     d = D.Dictionary(WORDS)
     made = []
     find = d.find
