@@ -1,8 +1,8 @@
 """Online models over sequences of their own: a user's events, a turn's bytes.
 
 Folds that SQL can say run as array aggregates in the JVM. Models whose update depends
-on their own output run in Python, one sequence at a time; the unit is a user or a turn,
-whose rows belong together by meaning.
+on their own output run in Python, users side by side in lanes, turns one at a time; the
+unit is a user or a turn, whose rows belong together by meaning.
 
 Defined results: a null event type is a type like any other; a null text counts as
 empty; events of one time come in the order of their ids.
@@ -15,11 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import attention as A
 from corpusloom.functions import online as O
+from corpusloom.functions.lanes import code_lengths, lanes_of, numbered
 from corpusloom.functions.ppm import Ppm
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
@@ -167,17 +169,50 @@ def user_bits(types: list, bits: list[int]) -> dict[str, float]:
     return total
 
 
-@query("online_mixture")
-def online_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits that online models need for each user's repeats and types."""
+#: Events that may wait in a task for enough users to go side by side.
+WAITING = 1 << 21
+
+
+def users_side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(user_id, types, bits) to ``user_bits`` of each user, worked out for many users at a time."""
     names = ("mixed", "refined", "corrected", "net")
+    waiting: dict[int, list[tuple]] = {}  # by the number of symbols, which is the net's size
+
+    def some(symbols: int) -> pa.RecordBatch:
+        users, n, ids, bits = zip(*waiting.pop(symbols), strict=True)
+        users, n, ids, bits = pa.concat_arrays(users), np.concatenate(n), np.concatenate(ids), np.concatenate(bits)
+        starts = np.cumsum(n) - n
+        got = np.empty((len(n), 4))
+        by = np.argsort(-n, kind="stable")  # users of like lengths go together
+        for at in np.split(by, range(lanes_of(symbols), len(by), lanes_of(symbols))):
+            places = np.repeat(starts[at] - np.cumsum(n[at]) + n[at], n[at]) + np.arange(n[at].sum())
+            got[at] = code_lengths(ids[places], bits[places], n[at], symbols)
+        columns = [pa.array([round(x, 4) for x in c], pa.float64()) for c in got.T.tolist()]
+        return pa.RecordBatch.from_arrays([users, pa.array(n, pa.int32()), *columns], names=["user_id", "n", *names])
+
+    for batch in batches:
+        users, types, bits = batch.columns
+        n = pc.list_value_length(types).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = types.flatten().dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        ids, known = numbered(np.repeat(np.arange(len(n)), n), codes, len(n))
+        bits = bits.flatten().to_numpy()
+        symbols = np.maximum(2, known)
+        for k in np.unique(symbols).tolist():
+            mine = symbols == k
+            places = np.repeat(mine, n)
+            waiting.setdefault(k, []).append((users.filter(pa.array(mine)), n[mine], ids[places].astype(np.int32), bits[places].astype(np.int8)))
+            if sum(len(w[1]) for w in waiting[k]) >= lanes_of(k):
+                yield some(k)
+        if sum(len(w[2]) for ws in waiting.values() for w in ws) >= WAITING:
+            yield from map(some, list(waiting))
+    yield from map(some, list(waiting))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [user_bits([x["event_type"] for x in a], [x["bit"] for x in a]) for a in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(a) for a in batch.column(1)], pa.int32()), *(pa.array([round(r[k], 4) for r in rows], pa.float64()) for k in names)], names=["user_id", "n", *names])
 
-    return sequences(spark, sf_dir).mapInArrow(run, "user_id bigint, n int, mixed double, refined double, corrected double, net double")
+@query("online_mixture")
+def online_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits that online models need for each user's repeats and types: the events of many users at a time, one of each."""
+    s = sequences(spark, sf_dir).select("user_id", F.col("a.event_type").alias("types"), F.col("a.bit").alias("bits"))
+    return s.mapInArrow(users_side_by_side, "user_id bigint, n int, mixed double, refined double, corrected double, net double")
 
 
 @query("ppm_bits")

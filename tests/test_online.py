@@ -3,11 +3,14 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.functions import attention as A
+from corpusloom.functions import lanes
 from corpusloom.functions import online as O
 from corpusloom.functions.ppm import Ppm
+from corpusloom.operators import online_models
 from corpusloom.operators.online_models import user_bits
 
 
@@ -171,3 +174,25 @@ def test_ppm_code_length_is_that_of_the_distributions(options):
         slow.learn(b)
     assert abs(fast.bits(text[:100]) + fast.bits(text[100:]) - want) < 1e-6
     assert (fast.contexts, fast.escape, fast.past) == (slow.contexts, slow.escape, slow.past)
+
+
+def test_users_side_by_side_are_users_one_by_one(monkeypatch):
+    rng = random.Random(5)
+    lengths = [0, 1, 2, 3, 8, 9, 10, 17, 64, 65, 300, *(rng.randrange(20, 90) for _ in range(40))]
+    types = [[rng.choice([None, "a", "b", "c", "d"][: 1 + k % 5]) for _ in range(n)] for k, n in enumerate(lengths)]
+    types += [[t for t in x for _ in range(4)] for x in types[20:30]] + [[str(rng.randrange(90)) for _ in range(200)] for _ in range(3)]
+    bits = [[int(k > 0 and t is not None and t == x[k - 1]) for k, t in enumerate(x)] for x in types]
+    want = {k: (len(t), *(round(v, 4) for v in user_bits(t, b).values())) for k, (t, b) in enumerate(zip(types, bits, strict=True))}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(types)), pa.int64()), pa.array(types, pa.list_(pa.string())), pa.array(bits, pa.list_(pa.int32()))], names=["user_id", "types", "bits"])
+    steps, one = [], lanes.LstmLanes.predict
+    monkeypatch.setattr(lanes.LstmLanes, "predict", lambda net, symbol: steps.append(len(symbol)) or one(net, symbol))
+    for waiting, at_once in ((1 << 21, 256), (500, 256), (1 << 21, 7)):
+        monkeypatch.setattr(online_models, "WAITING", waiting)
+        monkeypatch.setattr(lanes, "LANES", at_once)
+        steps.clear()
+        got = [r for b in online_models.users_side_by_side(iter([batch.slice(0, 30), batch.slice(30)])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert {r[0]: r[1:] for r in got} == want and len(got) == len(want)
+        assert sum(steps) == sum(max(0, len(t) - 1) for t in types)
+        if (waiting, at_once) == (1 << 21, 256):  # a net's steps are those of its longest user, not of all events
+            assert len(steps) < 0.3 * sum(steps)
+    assert lanes.lanes_of(5) == 7 and lanes.lanes_of(1 << 20) == 1
