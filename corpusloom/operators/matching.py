@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.known import Known
 from corpusloom.operators.symbols import code_points
 from corpusloom.plans.registry import query
+from corpusloom.session import materialize
 from corpusloom.sources.tables import dealt, table
 
 GRAM = 8
@@ -144,13 +147,6 @@ def donor_votes_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORD_GRAM_SQL = "SELECT {id}, array_to_string(w[i : i + {k} - 1], ' ') AS g FROM (SELECT {id}, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {t}) x, unnest(range(1, len(w) - {k} + 2)) t(i)"
 
 
-def word_grams(df: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, g): all k-word grams of lower-cased ASCII words."""
-    words = df.select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("w")).filter(F.size("w") >= k)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))
-    return words.select(key, F.explode(grams).alias("g"))
-
-
 @query(
     "benchmark_containment",
     f"""
@@ -236,14 +232,139 @@ def hashed_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CONTAINED_BITS = 1 << 22
 
 
+#: Words of a pattern, and how many patterns are told.
+PATTERN, PATTERNS = 3, 128
+#: Buckets in which patterns are counted by hash; the fullest are counted by text before the others are judged.
+BUCKETS, FULLEST, BLOCK = 1 << 20, 1 << 12, 1 << 12
+#: Bytes of text that are split into words at a time, and patterns that a task counts before it hands them on.
+PIECE, COUNTED = 1 << 18, 1 << 17
+
+NO_WORD_BYTE = re.compile(rb"[^a-z0-9]")
+IS_WORD_BYTE = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+
+
+@lru_cache(2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2 ** 64, and of its inverse."""
+    odd = 0x9E3779B97F4A7C15
+    return tuple(np.cumprod(np.array([1] + [r] * (n - 1), np.uint64)) for r in (odd, pow(odd, -1, 1 << 64)))
+
+
+def patterns_of(texts: list[bytes | None], size: int = PIECE) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """The patterns of lower-cased texts, a piece after the other: words with a space between, where in them a pattern begins and ends, its bucket.
+
+    A piece ends at a byte outside words, and the next begins with its last words, of
+    which no pattern has been told. A pattern's hash is a difference of running sums.
+    """
+    data = b"\n".join(t or b"" for t in texts)
+    whole = np.frombuffer(data, np.uint8)
+    stops = np.cumsum([len(t or b"") + 1 for t in texts]) - 1
+    start = end = 0
+    while end < len(data):
+        cut = NO_WORD_BYTE.search(data, end + size)
+        end = cut.start() if cut else len(data)
+        piece = whole[start:end]
+        word = IS_WORD_BYTE[piece]
+        before = np.concatenate([[False], word[:-1]])
+        begins = np.flatnonzero(word & ~before)
+        kept = np.flatnonzero(word | before)  # each word and the byte after it
+        text = np.where(word, piece, 32)[kept]
+        to = np.flatnonzero(text == 32)
+        if len(to) < len(begins):
+            to = np.append(to, len(text))
+        n = len(begins) - PATTERN + 1
+        if n > 0:
+            inside = np.ones(n, bool)
+            told = np.searchsorted(begins, stops[np.searchsorted(stops, start, "right") : np.searchsorted(stops, end, "right")] - start)
+            for k in range(1, PATTERN):  # no pattern begins with the last words of a text
+                last = told - k
+                inside[last[(last >= 0) & (last < n)]] = False
+            at, to = np.concatenate([[0], to[:-1] + 1])[:n][inside], to[PATTERN - 1 :][inside]
+            up, down = powers(max(2 * PIECE, 1 << len(text).bit_length()))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text * up[: len(text)])])
+            h = (sums[to] - sums[at]) * down[at]
+            h = (h ^ h >> np.uint64(32)) * up[1]
+            yield text.tobytes(), at, to, (h >> np.uint64(44)).astype(np.int64) & (BUCKETS - 1)
+        start = start + int(begins[max(0, n)]) if len(begins) else end
+
+
+def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (block, counts): how many patterns a task has in each bucket, a row for a block of them."""
+    counts = np.zeros(BUCKETS, np.int64)
+    some, n = [], 0
+    for batch in batches:
+        for *_, b in patterns_of(batch.column(0).to_pylist()):
+            some.append(b)
+            n += len(b)
+            if n >= BUCKETS:
+                counts += np.bincount(np.concatenate(some), minlength=BUCKETS)
+                some, n = [], 0
+    if n:
+        counts += np.bincount(np.concatenate(some), minlength=BUCKETS)
+    blocks = counts.reshape(-1, BLOCK)
+    at = np.flatnonzero(blocks.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([blocks[k].tobytes() for k in at], pa.binary())], names=["block", "counts"])
+
+
+def summed(rows: pa.Table) -> pa.Table:
+    """The rows of one block as one row."""
+    total = np.zeros(BLOCK, np.int64)
+    for c in rows.column("counts"):
+        total += np.frombuffer(c.as_buffer(), np.int64)
+    return pa.table({"block": rows.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def patterns_in(chosen):  # noqa: ANN001, ANN201
+    """A mapInArrow function over (text): (pattern, n) for those in the chosen buckets, some counted more than once in parts."""
+
+    def rows(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([g.decode() for g in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["pattern", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text, at, to, b in patterns_of(batch.column(0).to_pylist()):
+                mine = chosen.value[b]
+                found.update([text[i:j] for i, j in zip(at[mine].tolist(), to[mine].tolist(), strict=True)])
+                if len(found) >= COUNTED:
+                    yield rows(found)
+                    found.clear()
+        yield rows(found)
+
+    return run
+
+
 @query(
     "frequent_patterns",
     f"WITH d AS ({WORD_GRAM_SQL.format(id='doc_id', k=3, t='documents')}) SELECT g AS pattern, count(*) AS n FROM d GROUP BY 1 ORDER BY n DESC, pattern LIMIT 128",
 )
 def frequent_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 128 most frequent word trigrams, ties by text."""
-    d = word_grams(table(spark, sf_dir, "documents"), "doc_id", 3)
-    return d.groupBy(F.col("g").alias("pattern")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pattern").limit(128)
+    """The 128 most frequent word trigrams, ties by text.
+
+    Trigrams are counted in BUCKETS buckets of their hashes first. Those of the fullest
+    buckets are then counted by text; another bucket can hold one of the 128 only if it
+    has no fewer than the last of them, and such buckets are counted by text too. So
+    rare trigrams, which are most, never leave their task.
+    """
+    texts = dealt(table(spark, sf_dir, "documents").select("text")).select(F.lower("text").cast("binary").alias("t"))
+    counts = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)  # however many the documents
+    for r in texts.mapInArrow(bucket_counts, "block int, counts binary").groupBy("block").applyInArrow(summed, "block int, counts binary").toLocalIterator():
+        counts[r.block] = np.frombuffer(r.counts, np.int64)
+    counts = counts.reshape(-1)
+
+    def most_frequent(df: DataFrame) -> DataFrame:
+        return df.groupBy("pattern").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pattern").limit(PATTERNS)
+
+    def within(chosen: np.ndarray) -> DataFrame:
+        return most_frequent(texts.mapInArrow(patterns_in(spark.sparkContext.broadcast(chosen)), "pattern string, n bigint"))
+
+    first = np.zeros(BUCKETS, bool)
+    first[np.argpartition(counts, -FULLEST)[-FULLEST:]] = True
+    best = materialize(within(first & (counts > 0)), "patterns")
+    found = best.agg(F.count("*").alias("rows"), F.min("n").alias("least")).first()
+    last = found.least if found.rows == PATTERNS else 1
+    others = ~first & (counts >= last)
+    return most_frequent(best.unionByName(within(others)) if others.any() else best)
 
 
 @query(
